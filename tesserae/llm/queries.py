@@ -1,0 +1,43 @@
+"""Queries of the problems on training data, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm.packing import fill_containers
+from tesserae.llm.tokens import count_column, encode_column
+from tesserae.runtime import materialize
+from tesserae.sources.tables import table
+
+
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_column(table(spark, root, "documents"), "doc_id", "text")
+
+
+def _containers(spark: SparkSession, root: str) -> DataFrame:
+    counts = materialize(count_column(table(spark, root, "documents"), "doc_id", "text"))
+    # A fixed list of a few capacities; it does not grow with the documents.
+    budgets = [(r.budget_id, r.capacity_tokens) for r in table(spark, root, "token_budgets").select("budget_id", "capacity_tokens").distinct().orderBy("budget_id").collect()]
+    return fill_containers(counts, "doc_id", "n_tokens", budgets)
+
+
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every document, or piece of a document, for each capacity."""
+    return _containers(spark, root)
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and unused room per capacity."""
+    budgets = table(spark, root, "token_budgets").select("budget_id", "capacity_tokens").distinct()
+    used = _containers(spark, root).groupBy("budget_id").agg(F.countDistinct("container_id").alias("n_containers"), F.count(F.lit(1)).alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
+    return used.join(budgets, "budget_id").select("budget_id", "n_containers", "n_items", "n_tokens", (F.col("n_containers") * F.col("capacity_tokens") - F.col("n_tokens")).alias("unused_tokens"))
+
+
+QUERIES = {
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+}
+SQL: dict[str, str] = {}
