@@ -6,11 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.packing import fill_containers
+from tesserae.llm.spans import shared_coverage, shared_span_pairs
 from tesserae.llm.tokens import count_column, encode_column
 from tesserae.runtime import materialize
 from tesserae.sources.tables import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of file changes at different paths that share a passage of 200 characters."""
+    return shared_span_pairs(table(spark, root, "file_changes"), "id", "path", ["original_content", "new_content"], span=200)
+
+
+def p3_shared(spark: SparkSession, root: str) -> DataFrame:
+    """Characters of each content of a file change that also stand in one at another path."""
+    changes = table(spark, root, "file_changes")
+    return shared_coverage(changes, "id", "path", ["original_content", "new_content"], span=200)
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, root, "documents"), "doc_id", "text")
@@ -36,6 +48,8 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_shared": p3_shared,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
