@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.neardup import near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
 from tesserae.llm.tokens import count_column, encode_column
+from tesserae.operators.components import connected_components
 from tesserae.runtime import materialize
 from tesserae.sources.tables import table
 
@@ -23,6 +25,19 @@ def p3_shared(spark: SparkSession, root: str) -> DataFrame:
     return shared_coverage(changes, "id", "path", ["original_content", "new_content"], span=200)
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of file changes at different paths whose new contents are near duplicates."""
+    return near_duplicate_pairs(table(spark, root, "file_changes"), "id", "path", "new_content")
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The group of each file change that has a near duplicate, and its number of links."""
+    pairs = materialize(p4_found(spark, root))
+    links = pairs.select(F.explode(F.array("id_a", "id_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    groups = connected_components(pairs, "id_a", "id_b")
+    return groups.join(links, "node").select(F.col("node").alias("id"), F.col("component").alias("group_id"), "n_links")
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, root, "documents"), "doc_id", "text")
@@ -50,6 +65,8 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
