@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm.credentials import credential_lines, redacted
 from tesserae.llm.neardup import near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
@@ -14,6 +15,16 @@ from tesserae.runtime import materialize
 from tesserae.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of file changes in which a credential begins."""
+    return credential_lines(table(spark, root, "file_changes"), "id", "path", {"original": "original_content", "new": "new_content"})
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The texts of all file changes with their credentials blanked."""
+    return redacted(table(spark, root, "file_changes"), "id", "path", ["original_content", "new_content"])
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of file changes at different paths that share a passage of 200 characters."""
     return shared_span_pairs(table(spark, root, "file_changes"), "id", "path", ["original_content", "new_content"], span=200)
@@ -63,6 +74,8 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
     "p3_found": p3_found,
     "p3_shared": p3_shared,
     "p4_found": p4_found,
