@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.credentials import credential_lines, redacted
+from tesserae.llm.handwritten import not_handwritten
 from tesserae.llm.neardup import near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
 from tesserae.llm.tokens import count_column, encode_column
 from tesserae.operators.components import connected_components
+from tesserae.operators.integrity import normal_key
 from tesserae.runtime import materialize
 from tesserae.sources.tables import table
 
@@ -49,6 +51,38 @@ def p4_groups(spark: SparkSession, root: str) -> DataFrame:
     return groups.join(links, "node").select(F.col("node").alias("id"), F.col("component").alias("group_id"), "n_links")
 
 
+def _workspaces(spark: SparkSession, root: str) -> DataFrame:
+    """``id, workspace_path`` of each file change whose checkpoint and session are known."""
+    changes, checkpoints, sessions = (table(spark, root, n) for n in ("file_changes", "checkpoints", "sessions"))
+    of_session = sessions.select(normal_key(F.col("id")).alias("session"), "workspace_path").where("session is not null").groupBy("session").agg(F.min("workspace_path").alias("workspace_path"))
+    of_checkpoint = checkpoints.select(normal_key(F.col("id")).alias("checkpoint"), normal_key(F.col("session_id")).alias("session")).where("checkpoint is not null and session is not null").groupBy("checkpoint").agg(F.min("session").alias("session"))
+    of_change = changes.select("id", normal_key(F.col("checkpoint_id")).alias("checkpoint")).where("checkpoint is not null").groupBy("id").agg(F.min("checkpoint").alias("checkpoint"))
+    return of_change.join(of_checkpoint, "checkpoint").join(of_session, "session").where("workspace_path is not null").select("id", "workspace_path")
+
+
+def _attribute_files(spark: SparkSession, root: str) -> DataFrame:
+    """``id, folder, text``: the attribute files of each file change's workspace."""
+    workspaces = _workspaces(spark, root)
+    held = table(spark, root, "file_changes").where("path like '%.gitattributes' and new_content is not null").select("id", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.col("new_content").alias("text"), "modified_at", "path").where("path = '.gitattributes' or path like '%/.gitattributes'")
+    # The latest version of each attribute file; a repository has a handful of them.
+    latest = held.join(workspaces, "id").groupBy("workspace_path", "folder").agg(F.max_by("text", F.struct("modified_at", "id")).alias("text"))
+    return workspaces.join(latest, "workspace_path").select("id", "folder", "text")
+
+
+def _not_handwritten(spark: SparkSession, root: str) -> DataFrame:
+    return not_handwritten(table(spark, root, "file_changes"), "id", "path", "new_content", _attribute_files(spark, root))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """File changes whose content nobody on the project wrote by hand."""
+    return _not_handwritten(spark, root).select(F.col("id").alias("file_change_id")).distinct()
+
+
+def p6_reasons(spark: SparkSession, root: str) -> DataFrame:
+    """Their number by reason."""
+    return _not_handwritten(spark, root).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, root, "documents"), "doc_id", "text")
@@ -80,6 +114,8 @@ QUERIES = {
     "p3_shared": p3_shared,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p6_found": p6_found,
+    "p6_reasons": p6_reasons,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
