@@ -10,6 +10,7 @@ from tesserae.llm.handwritten import not_handwritten
 from tesserae.llm.neardup import near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
+from tesserae.llm.stuffing import stuffed_pages
 from tesserae.llm.tokens import count_column, encode_column
 from tesserae.operators.components import connected_components
 from tesserae.operators.integrity import normal_key
@@ -107,6 +108,11 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return used.join(budgets, "budget_id").select("budget_id", "n_containers", "n_items", "n_tokens", (F.col("n_containers") * F.col("capacity_tokens") - F.col("n_tokens")).alias("unused_tokens"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that consist of keywords, links or tags instead of sentences."""
+    return stuffed_pages(table(spark, root, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
@@ -119,5 +125,6 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p9_found": p9_found,
 }
 SQL: dict[str, str] = {}

@@ -1,8 +1,8 @@
 from tesserae.llm.handwritten import content_kind, declared, not_handwritten, parse_attributes
 
 MADE = "\n".join(f"export function get_{w}(m) {{ return m.f[{i}].v{i * 77}; }}" for i, w in enumerate("abcdefghijklmnop"))
-MINIFIED = "var a1=function(b,c){return b.d>1?c(b,2):void 0};" * 20
-OWN = "import os\n\ndef f(a):\n    # code generated by hand\n    return a\n\nTABLE = [1, 2, 3]\n"
+MINIFIED = "var a1=function(b,c){return b.delta>617?c(b,23):void 0};f3.prototype.lock=function(f){this.o31=f||{};for(var o=0;o<84;o++)this.rule[o]=!0};" * 9
+OWN = "import os\n\ndef f(a):\n    # generated values are checked by hand\n    return a\n\nTABLE = [1, 2, 3]\n"
 
 
 def test_globs_and_precedence():
