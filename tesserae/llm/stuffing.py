@@ -53,7 +53,7 @@ _CODE_LETTERS = re.compile(r"[{}();=\[\]<>|&\\]")
 #: Shares of a page's characters.
 CLAUSES_SETTLE, UNSAID, COVERED, LINKED = 0.5, 0.55, 0.35, 0.25
 #: A page with hardly a clause at all needs less repetition, if it is long enough to show any.
-SILENT, SILENT_WORDS, SILENT_COVERED = 0.9, 30, 0.12
+SILENT, SILENT_WORDS, SILENT_COVERED = 0.8, 30, 0.12
 LEAST_WORDS = 12
 
 
