@@ -9,6 +9,7 @@ from tesserae.llm.credentials import credential_lines, redacted
 from tesserae.llm.handwritten import not_handwritten
 from tesserae.llm.neardup import near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
+from tesserae.llm.parsing import parse_errors
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
 from tesserae.llm.stuffing import stuffed_pages
 from tesserae.llm.tokens import count_column, encode_column
@@ -61,6 +62,24 @@ def _workspaces(spark: SparkSession, root: str) -> DataFrame:
     return of_change.join(of_checkpoint, "checkpoint").join(of_session, "session").where("workspace_path is not null").select("id", "workspace_path")
 
 
+def _parse_errors(spark: SparkSession, root: str) -> DataFrame:
+    # A fixed list of languages; it does not grow with the files.
+    languages = {r.ext: r.language_name for r in table(spark, root, "file_languages").where("is_parsed").select("ext", "language_name").collect()}
+    return parse_errors(table(spark, root, "file_changes"), "id", "path", "new_content", languages)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """File changes whose new content is not valid in the language of their path."""
+    return _parse_errors(spark, root).where("error_line is not null").select(F.col("id").alias("file_change_id")).distinct()
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Judged and invalid file changes per workspace and language; those of no known workspace under null."""
+    each = _parse_errors(spark, root).groupBy("id", "language_name").agg(F.max(F.when(F.col("error_line").isNotNull(), 1).otherwise(0)).alias("invalid"))
+    placed = each.join(_workspaces(spark, root), "id", "left")
+    return placed.groupBy("workspace_path", "language_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("invalid").alias("n_invalid"), F.round(F.avg("invalid"), 6).alias("invalid_rate"))
+
+
 def _attribute_files(spark: SparkSession, root: str) -> DataFrame:
     """``id, folder, text``: the attribute files of each file change's workspace."""
     workspaces = _workspaces(spark, root)
@@ -120,6 +139,8 @@ QUERIES = {
     "p3_shared": p3_shared,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_reasons": p6_reasons,
     "p7_ids": p7_ids,
