@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def weighted(parts: dict[str, float]) -> Column:
@@ -30,7 +31,7 @@ def fill_budget(df: DataFrame, group: str, score: str, cost: str, tie: str, budg
     Whether a row fits depends on all better rows, so a group is read in order by one task, in batches: its
     running cost is all that is kept in memory, however large the group. Null costs count as 0.
     """
-    schema = df.schema.add("taken_before", "long")
+    schema = StructType([*df.schema.fields, StructField("taken_before", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, used = object(), 0
