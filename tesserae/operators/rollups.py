@@ -25,7 +25,7 @@ def daily_histogram(df: DataFrame, at: str) -> DataFrame:
 def peakiness(df: DataFrame, bucket: str) -> DataFrame:
     """How far a histogram's largest bucket stands out: a tenth of max / mean, 0.9 at most, 0 without rows."""
     n = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.coalesce(F.round(F.least(F.lit(0.9), F.max("n") / F.avg("n") / 10), 6), F.lit(0.0)).alias("peakiness"))
+    return n.agg(F.when(F.max("n").isNull(), 0.0).otherwise(F.round(F.least(F.lit(0.9), F.max("n") / F.avg("n") / 10), 6)).alias("peakiness"))
 
 
 def content_sharing(df: DataFrame, content: str) -> DataFrame:
