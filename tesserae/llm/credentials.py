@@ -136,11 +136,11 @@ def password_like(v: str) -> bool:
         return False
     if v.startswith(("./", "../", "/", "http:", "https:", "data:", "@/")) and not _random(v) and not re.fullmatch(r"/[A-Za-z0-9+/]{20,}=*", v):
         return False
-    if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+(?:\(.*)?", v) and not _random(v):
+    if re.fullmatch(r"[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)+(?:\(.*)?", v) and not _random(v) and not (_PREFIXED.fullmatch(v) and re.search(r"\d", v) and len(re.findall("[A-Z]", v)) > 2):
         return False
     if re.fullmatch(r"[\d.,:\-+/ ]+", v):
         return False
-    return bool(re.search(r"\d", v) and re.search("[A-Za-z]", v) or re.search(r"[!@#$%^&*+=?]", v) and re.search("[A-Za-z]", v) or re.search("[a-z][A-Z]{2,}[a-z]", v))
+    return bool(re.search(r"\d", v) and re.search("[A-Za-z]", v) or re.search(r"[!@#$%^&*+=?]", v) and re.search("[A-Za-z]", v) or re.search("[a-z][A-Z]{2,}[a-z]", v) or len(v) >= 8 and len(re.findall("[A-Z]", v)) >= 0.28 * len(v) and re.search("[a-z]", v) and not v.isupper() and "_" not in v)
 
 
 def is_credential(entry: Entry) -> bool:
