@@ -25,6 +25,10 @@ def duplication(windows: DataFrame, key: str, clones: DataFrame) -> DataFrame:
     return marked.groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"), F.count("_c").alias("n_cloned"), F.round(F.count("_c") / F.count(F.lit(1)), 6).alias("share"))
 
 
+def _least_hash(i: int):
+    return F.array_min(F.transform("_s", lambda x: F.xxhash64(F.lit(i), x)))
+
+
 def directory_overlap(df: DataFrame, key: str, path: str, least: float) -> DataFrame:
     """``a, b, overlap``: pairs of keys whose sets of folders are similar.
 
@@ -33,7 +37,7 @@ def directory_overlap(df: DataFrame, key: str, path: str, least: float) -> DataF
     """
     folder = F.regexp_replace(path, r"/?[^/]*$", "")
     sets = df.where(F.col(path).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(folder).alias("_s"))
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array_min(F.transform("_s", lambda x, i=i: F.xxhash64(F.lit(i), x))).alias("m")) for i in range(12)])).alias("b")
+    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _least_hash(i).alias("m")) for i in range(12)])).alias("b")
     k = sets.select(key, "_s", band)
     a, b = k.select(F.col(key).alias("a"), F.col("_s").alias("sa"), "b"), k.select(F.col(key).alias("b_"), F.col("_s").alias("sb"), "b")
     o = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
