@@ -21,7 +21,8 @@ from tesserae.sources.tables import table
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Lines of file changes in which a credential begins."""
-    return credential_lines(table(spark, root, "file_changes"), "id", "path", {"original": "original_content", "new": "new_content"})
+    found = credential_lines(table(spark, root, "file_changes"), "id", "path", {"original": "original_content", "new": "new_content"})
+    return found.withColumnRenamed("id", "file_change_id")
 
 
 def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
@@ -148,4 +149,12 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_found": p9_found,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """
+with c as (select id, any_value(path) path, any_value(new_content) t from file_changes where new_content is not null and id is not null group by id),
+w as (select id, coalesce(path, '') path, regexp_extract_all(lower(t), '[a-z0-9_]+') w from c),
+s as (select id, path, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from w where len(w) >= 30),
+x as (select id, path, len(s) n, unnest(s) g from s),
+p as (select a.id id_a, b.id id_b, any_value(a.n) na, any_value(b.n) nb, count(*) k from x a join x b on a.g = b.g and a.id < b.id and a.path <> b.path group by 1, 2)
+select id_a, id_b from p where 10 * k >= 7 * (na + nb - k)""",
+}
