@@ -150,6 +150,12 @@ QUERIES = {
     "p9_found": p9_found,
 }
 SQL: dict[str, str] = {
+    "p3_found": """
+with c as (select id, coalesce(any_value(path), '') path, any_value(original_content) o, any_value(new_content) n from file_changes where id is not null group by id),
+t as (select id, path, unnest([o, n]) t from c),
+w as (select id, path, unnest(list_transform(range(1, length(t) - 198), lambda i: hash(substr(t, i, 200)))) h from t where length(t) >= 200),
+u as (select distinct id, path, h from w)
+select distinct a.id id_a, b.id id_b from u a join u b on a.h = b.h and a.id < b.id and a.path <> b.path""",
     "p4_found": """
 with c as (select id, any_value(path) path, any_value(new_content) t from file_changes where new_content is not null and id is not null group by id),
 w as (select id, coalesce(path, '') path, regexp_extract_all(lower(t), '[a-z0-9_]+') w from c),
