@@ -42,13 +42,13 @@ def latest_sessions(spark, root):
     return latest_per_key(table(spark, root, "sessions"), ["id"], ["last_accessed", "ingested_at"], ["last_accessed", "workspace_path", "checkpoint_count"])
 
 
-@query(f"with {_CP} select lower(trim(session_id)) session_id, count(*) n_checkpoints, sum(coalesce(size_bytes, 0)) total_size from cp where trim(coalesce(session_id, '')) <> '' group by 1")
+@query(f"with {_CP} select lower(trim(session_id)) session_id, count(*) n_checkpoints, sum(coalesce(size_bytes, 0))::bigint total_size from cp where trim(coalesce(session_id, '')) <> '' group by 1")
 def session_counters(spark, root):
     c = checkpoints_once(spark, root).withColumn("session_id", normal_key(F.col("session_id"))).where("session_id is not null")
     return c.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_checkpoints"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_size"))
 
 
-@query(f"with {_CP} select count(*) n, coalesce(sum(size_bytes), 0) total_size, cast(coalesce(sum(size_bytes), 0) // greatest(count(*), 1) as bigint) mean_size, max(created_at) newest from cp")
+@query(f"with {_CP} select count(*) n, coalesce(sum(size_bytes), 0)::bigint total_size, cast(coalesce(sum(size_bytes), 0) // greatest(count(*), 1) as bigint) mean_size, max(created_at) newest from cp")
 def global_stats(spark, root):
     total = F.coalesce(F.sum("size_bytes"), F.lit(0))
     return checkpoints_once(spark, root).agg(F.count(F.lit(1)).alias("n"), total.alias("total_size"), F.expr("coalesce(sum(size_bytes), 0) div greatest(count(1), 1)").alias("mean_size"), F.max("created_at").alias("newest"))
@@ -59,7 +59,7 @@ def operation_metrics(spark, root):
     return rollups.operation_metrics(table(spark, root, "events"), "event_type", "ts", "value", as_of())
 
 
-@query("select event_type, count(*) n, sum(cast(json_extract(props, '$.k') as bigint)) total_k from events where json_extract(props, '$.k') is not null group by 1")
+@query("select event_type, count(*) n, sum(cast(json_extract(props, '$.k') as bigint))::bigint total_k from events where json_extract(props, '$.k') is not null group by 1")
 def metadata_sum(spark, root):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, root, "events").withColumn("k", k).where("k is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total_k"))
@@ -72,7 +72,7 @@ def daily_histogram(spark, root):
 
 @query(f"""with {_CP}, k as (select lower(trim(session_id)) s, * from cp where trim(coalesce(session_id, '')) <> ''),
 f as (select s, max(created_at) t from k where is_full_snapshot group by 1)
-select k.s session_id, sum(case when not is_full_snapshot and k.created_at > coalesce(f.t, timestamp '1970-01-01') then 1 else 0 end) n_deltas, max(f.t) last_full from k left join f using (s) group by 1""")
+select k.s session_id, sum(case when not is_full_snapshot and k.created_at > coalesce(f.t, timestamp '1970-01-01') then 1 else 0 end)::bigint n_deltas, max(f.t) last_full from k left join f using (s) group by 1""")
 def deltas_since_full(spark, root):
     k = checkpoints_once(spark, root).withColumn("session_id", normal_key(F.col("session_id"))).where("session_id is not null")
     full = k.where("is_full_snapshot").groupBy("session_id").agg(F.max("created_at").alias("last_full"))
@@ -87,7 +87,7 @@ def success_rate(spark, root):
 
 
 @query(f"""with {_CP} select (select count(*) from cp) n_checkpoints, (select count(distinct id) from sessions) n_sessions, (select count(distinct user_id) from events) n_users,
-(select round(avg(value), 6) from events where event_type = 'purchase') mean_value, (select count(*) from events where event_type = 'error') n_errors, (select sum(coalesce(size_bytes, 0)) from cp) total_size""")
+(select round(avg(value), 6) from events where event_type = 'purchase') mean_value, (select count(*) from events where event_type = 'error') n_errors, (select sum(coalesce(size_bytes, 0))::bigint from cp) total_size""")
 def dashboard(spark, root):
     cp = checkpoints_once(spark, root).agg(F.count(F.lit(1)).alias("n_checkpoints"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_size"))
     s = table(spark, root, "sessions").agg(F.countDistinct("id").alias("n_sessions"))

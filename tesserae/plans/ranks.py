@@ -46,7 +46,7 @@ def budget_selection(spark, root):
     return ranking.fill_budget(_scored(spark, root), "source", "score", "cost", "doc_id", 3000).select("source", "doc_id", "taken_before")
 
 
-@query(f"with {_S} select source, doc_id, spent from (select *, sum(cost) over (partition by source order by score desc, doc_id rows between unbounded preceding and current row) spent from sc where score > 0.1) where spent <= 3000")
+@query(f"with {_S} select source, doc_id, spent from (select *, (sum(cost) over (partition by source order by score desc, doc_id rows between unbounded preceding and current row))::bigint spent from sc where score > 0.1) where spent <= 3000")
 def expansion_within_budget(spark, root):
     return ranking.expand_within(_scored(spark, root), "source", "score", "cost", "doc_id", 0.1, 3000).select("source", "doc_id", "spent")
 
