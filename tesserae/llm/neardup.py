@@ -7,7 +7,8 @@ bucket too large for brute force are split again, each time on coordinates that
 its own hash, into buckets of records that share the sampled value. Two children are grown per node,
 so a pair of similarity 0.7 survives any number of splits with a probability of 0.81, and ``RUNS``
 independent runs bring the expected recall above 0.999. Nothing that falls into a small bucket is
-left out, and a bucket that is still large after ``DEPTH`` splits is compared in blocks.
+left out; a large bucket that a split hardly shrinks, or that is left after ``DEPTH`` splits, is compared in
+full but for the records of its commonest label among each other, which no result can name.
 
 Only candidates that a 64-bit summary does not rule out are compared exactly, on whole sets.
 Exact copies of a set take part once and are put back at the end.
@@ -29,6 +30,8 @@ COORDINATES = 64
 RUNS = 12
 BUCKET = 24
 DEPTH = 8
+#: A bucket that a split leaves this much of is of one kind; splitting it again would only copy it.
+STUCK = 0.9
 #: Summaries (a bit per coordinate) of a pair of similarity 0.7 differ in 9.6 bits on average, with a
 #: standard deviation of 2.9; of unrelated sets in 32.
 SUMMARY_BITS = 27
@@ -146,29 +149,42 @@ def _bucket_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     return side("a").join(side("b"), "node").where(may).select("rep_a", "rep_b")
 
 
+def _crowded_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The same for large buckets: records of a bucket's commonest label are only compared with those of other labels."""
+    common = rows.where("low = high").groupBy("node", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "low")).alias("c")).select("node", F.col("c.low").alias("common"))
+    marked = rows.join(common, "node", "left").withColumn("is_common", F.coalesce((F.col("low") == F.col("common")) & (F.col("high") == F.col("common")), F.lit(False)))
+    side = lambda x, df: df.select("node", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "low", "high", "n", "bits")])
+    may = f"rep_a <> rep_b and least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and not (low_a = high_b and high_a = low_b) and bit_count(bits_a ^ bits_b) <= {SUMMARY_BITS}"
+    pairs = side("a", marked.where("not is_common")).join(side("b", marked), "node").where(may)
+    return pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"))
+
+
 def _candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
     slim = ["rep", "low", "high", "n", "bits"]
+    stuck = f"held > {BUCKET} and held >= {STUCK} * was"
     run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
-    rows = sketches.select(*slim, "sig", run).select(F.xxhash64("run", F.element_at("sig", F.col("run") + 1)).alias("node"), *slim)
+    rows = sketches.select(*slim, "sig", run).select(F.xxhash64("run", F.element_at("sig", F.col("run") + 1)).alias("node"), *slim, F.lit(None).cast("long").alias("was"))
     found, level = None, 0
     while True:
         size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("held > 1 and lowest <> highest").select("node", "held")
         sized = rows.join(size, "node")
-        small = _bucket_pairs(sized.where(f"held <= {BUCKET}").drop("held"), num, den)
+        small = _bucket_pairs(sized.where(f"held <= {BUCKET}").select("node", *slim), num, den)
         found = small if found is None else found.unionByName(small)
         level += 1
-        crowded = materialize(sized.where(f"held > {BUCKET}").select("node", *slim))
+        crowded = materialize(sized.where(f"held > {BUCKET}").select("node", *slim, "held", F.coalesce(F.expr(stuck), F.lit(False)).alias("stuck")))
         if crowded.isEmpty():
             return found.distinct()
+        found = found.unionByName(_crowded_pairs(crowded.where(F.col("stuck") | F.lit(level > DEPTH)), num, den))
         if level > DEPTH:
-            return found.unionByName(_bucket_pairs(crowded, num, den)).distinct()
+            return found.distinct()
+        crowded = crowded.where("not stuck").drop("stuck")
         # Two coordinates, sampled by the node, split its records by their values.
         child = lambda k: F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(COORDINATES)).cast("int")
         other = F.pmod(child(1) + 1 + F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
         rows = (
             crowded.join(sketches.select("rep", "sig"), "rep")
-            .select(*slim, "sig", "node", F.explode(F.array(child(1), other)).alias("at"))
-            .select(F.xxhash64("node", "at", F.element_at("sig", F.col("at") + 1)).alias("node"), *slim)
+            .select(*slim, "held", "sig", "node", F.explode(F.array(child(1), other)).alias("at"))
+            .select(F.xxhash64("node", "at", F.element_at("sig", F.col("at") + 1)).alias("node"), *slim, F.col("held").alias("was"))
         )
 
 

@@ -37,7 +37,7 @@ FUNCTION_WORDS = frozenset(
     durante al del muy más también ya cada sea qué quién cómo cuál cuándo dónde hay puede puedes pueden debe podemos peux peut peuvent pouvez dois doit
     pourquoi comment welche welcher welches dieser diese dieses jede jeder jedes kannst muss musst sollte""".split()
 )
-_HIDDEN = re.compile("[​-‏⁠﻿­‪-‮]")
+_HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u202a-\u202e]")
 _LEET = str.maketrans("0134578", "oieastb")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/[^\s<>()\[\]\"']*", re.IGNORECASE)

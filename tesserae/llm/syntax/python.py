@@ -194,7 +194,7 @@ class Lexer:
         out: list[int] = []
         at: list[int] = []
         levels, depth, pos, size, fresh, match = [0], 0, 0, len(text), True, _TOKEN.match
-        if text.startswith("﻿"):
+        if text.startswith("\ufeff"):
             pos = 1
         while pos < size:
             if fresh:

@@ -161,7 +161,7 @@ def grammar() -> str:
 
 _PUNCT = "|".join(re.escape(p) for p in sorted([p for p in PUNCTUATION if p not in ("/", "_", "#")] + ASSIGNING, key=len, reverse=True))
 _TOKEN = re.compile(
-    rf"[ \t\n\r\v\f\x85‎‏  ]+|//[^\n]*|/\*|b?\"(?:[^\"\\]|\\[\s\S])*\"|c\"(?:[^\"\\]|\\[\s\S])*\"|[bc]?r(?P<h>#*)\"[\s\S]*?\"(?P=h)"
+    rf"[ \t\n\r\v\f\x85\u200e\u200f  ]+|//[^\n]*|/\*|b?\"(?:[^\"\\]|\\[\s\S])*\"|c\"(?:[^\"\\]|\\[\s\S])*\"|[bc]?r(?P<h>#*)\"[\s\S]*?\"(?P=h)"
     rf"|b?'(?:[^'\\\n\r\t]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]{{1,8}}\}}))'|'[^\W\d]\w*(?!')|r#[^\W\d]\w*|[^\W\d]\w*"
     rf"|0x_*[0-9a-fA-F][0-9a-fA-F_]*(?:[iu](?:8|16|32|64|128|size))?(?!\w)|0o_*[0-7][0-7_]*(?:[iu](?:8|16|32|64|128|size))?(?!\w)|0b_*[01][01_]*(?:[iu](?:8|16|32|64|128|size))?(?!\w)"
     rf"|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w._]))?(?:[eE][+-]?_*\d[\d_]*)?(?:_*(?:[iu](?:8|16|32|64|128|size)|f32|f64))?(?!\w)|{_PUNCT}|#|/"
@@ -182,7 +182,7 @@ class Lexer:
         at: list[int] = []
         pos, size, match = 0, len(text), _TOKEN.match
         ident, num, string, dot = number["ID"], number["NUM"], number["STR"], number["'.'"]
-        if text.startswith("﻿"):
+        if text.startswith("\ufeff"):
             pos = 1
         if text.startswith("#!", pos) and not re.match(r"#!\s*\[", text[pos:]):
             pos = text.find("\n") if "\n" in text else size
@@ -195,7 +195,7 @@ class Lexer:
             kind = fixed.get(token)
             if kind is None:
                 c = token[0]
-                if c.isspace() or c in "\x85‎‏":
+                if c.isspace() or c in "\x85\u200e\u200f":
                     pos = end
                     continue
                 if c == "/":

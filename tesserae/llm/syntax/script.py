@@ -204,13 +204,13 @@ def grammar(typed: bool) -> str:
     return _BASE + (_TYPESCRIPT if typed else _SCRIPT) + f"\nctx : {ctx} ;\nname : ID | ctx | {keywords} ;\n"
 
 
-_ID = r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
+_ID = r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _STRING = r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\""
 _NUMBER = r"(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*|0[oO][0-7](?:_?[0-7])*|0[bB][01](?:_?[01])*)n?(?![\w$])|(?:(?:0|[1-9](?:_?\d)*)(?:n|(?:\.(?:\d(?:_?\d)*)?)?(?:[eE][+-]?\d(?:_?\d)*)?)|\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?)(?![\w$])"
 _TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`"
 _PUNCT = "|".join(re.escape(p) for p in sorted([p for p in PUNCTUATION if p not in ("/", "#", "?.")] + [a for a in ASSIGNING if a != "/="] + ["<<"], key=len, reverse=True))
 _TOKEN = re.compile(
-    rf"[ \t\n\r\v\f\xa0﻿    -   　]+|//[^\n\r  ]*|/\*[\s\S]*?\*/|{_ID}|{_STRING}|{_NUMBER}|{_TEMPLATE}|`|\?\.(?!\d)|{_PUNCT}|#{_ID}|/=?"
+    rf"[ \t\n\r\v\f\xa0\ufeff\u2028\u2029\u1680\u2000-\u200a\u202f\u205f\u3000]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/|{_ID}|{_STRING}|{_NUMBER}|{_TEMPLATE}|`|\?\.(?!\d)|{_PUNCT}|#{_ID}|/=?"
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*")
 _PART = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:`|\$\{)")
@@ -255,8 +255,8 @@ class Lexer:
             end = m.end()
             kind = fixed.get(token)
             if kind is None:
-                if c in " \t\r\n\v\f\xa0﻿" or c.isspace():
-                    if "\n" in token or "\r" in token or " " in token:
+                if c in " \t\r\n\v\f\xa0\ufeff" or c.isspace():
+                    if "\n" in token or "\r" in token or "\u2028" in token:
                         newline = True
                     pos = end
                     continue

@@ -29,7 +29,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 # The published splitting pattern, once for text of ASCII only and once in general.
 # White space is Unicode's White_Space property, spelled out because the libraries differ about U+001C to U+001F.
 _ASCII = r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _GENERAL = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 #: Words longer than this are not remembered, and a worker forgets all words beyond this number.

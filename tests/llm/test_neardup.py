@@ -41,5 +41,19 @@ def test_pairs(spark, monkeypatch, bucket, seed):
     assert len(got) >= 0.98 * len(want) > 30
 
 
+def test_a_third_of_the_rows_is_one_family(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    family = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(90):
+        copy = list(family)
+        copy[rng.randrange(120)] = f"x{i}"
+        rows.append((i, "same" if i > 3 else f"other{i}", " ".join(copy)))
+    rows += [(100 + i, "p", " ".join(rng.choice(words) for _ in range(100))) for i in range(150)]
+    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "id long, path string, t string"), "id", "path", "t").collect()}
+    assert got == _brute(rows) and len(got) > 300
+
+
 def test_empty(spark):
     assert neardup.near_duplicate_pairs(spark.createDataFrame([], "id long, path string, t string"), "id", "path", "t").count() == 0
