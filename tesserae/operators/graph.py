@@ -104,17 +104,39 @@ def strong_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60
     return found.join(size, "c").select(F.col("n").alias("node"), F.col("c").alias("component"))
 
 
-def inheritance_depth(edges: DataFrame, child: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """``node, depth``: longest way up from each child; parents that are no children have none."""
-    e = materialize(edges.select(F.col(child).alias("n"), F.col(parent).alias("p")).where("n is not null and p is not null").distinct())
-    level = e.select("n", F.col("p").alias("top"), F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, max_depth + 1):
-        level = materialize(level.select("n", F.col("top").alias("m")).join(e.select(F.col("n").alias("m"), "p"), "m").select("n", F.col("p").alias("top"), F.lit(depth).alias("depth")).distinct())
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy(F.col("n").alias("node")).agg(F.max("depth").alias("depth"))
+def ascents(edges: DataFrame, child: str, parent: str) -> list[DataFrame]:
+    """``node, up`` for 1, 2, 4, ... steps up: all pairs that so many steps join, as far as there are any.
+
+    Each joins the one before with itself, so their number grows with the logarithm of the longest way. A way
+    of as many steps as there are nodes meets one of them twice: a cycle, which is an error.
+    """
+    e = materialize(edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null").distinct())
+    n_nodes = e.select(F.explode(F.array("node", "up"))).distinct().count()
+    out = []
+    while not e.isEmpty():
+        if 2 ** len(out) >= n_nodes:
+            raise RuntimeError("the way up runs into a cycle")
+        out.append(e)
+        e = materialize(e.withColumnRenamed("up", "_m").join(e.withColumnRenamed("node", "_m"), "_m").select("node", "up").distinct())
+    return out
+
+
+def inheritance_depth(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """``node, depth``: longest way up from each child, however long; parents that are no children have none.
+
+    Where a way of some length goes up, all shorter ones do, so the depth is put together from the longest
+    ascent to the shortest. A cycle is an error.
+    """
+    steps = ascents(edges, child, parent)
+    if not steps:
+        return edges.select(F.col(child).alias("node"), F.lit(0).alias("depth")).limit(0)
+    at = steps[0].select("node", F.col("node").alias("_at")).distinct().withColumn("depth", F.lit(0))
+    for k in reversed(range(len(steps))):
+        on = at.join(steps[k].select(F.col("node").alias("_at"), F.col("up").alias("_up")), "_at", "left")
+        on = on.select("node", F.coalesce("_up", "_at").alias("_at"), (F.col("depth") + F.when(F.col("_up").isNull(), 0).otherwise(2**k)).alias("depth")).distinct()
+        far = on.groupBy("node").agg(F.max("depth").alias("depth"))
+        at = materialize(on.join(far, ["node", "depth"], "left_semi").select("node", "_at", "depth"))
+    return at.select("node", "depth").distinct()
 
 
 def def_use(statements: DataFrame, scope: str, position: str, variable: str, is_write: str) -> DataFrame:

@@ -112,6 +112,19 @@ def test_graph_small(spark):
     assert rows(graph.inheritance_depth(spark.createDataFrame([("x", "y"), ("y", "z"), ("x", "z")], "c string, p string"), "c", "p")) == [("x", 2), ("y", 1)]
 
 
+def test_inheritance_depth_of_long_chains_and_cycles(spark):
+    rng = random.Random(3)
+    up = [(i, i + 1) for i in range(150)] + [(i, rng.randrange(i + 1, 230)) for i in range(200, 229)] + [(205, 100), (3, 90)]
+    want = {}
+    for i in [*reversed(range(200)), *reversed(range(200, 230))]:
+        want |= {i: 1 + max(want.get(p, 0) for c, p in up if c == i)} if any(c == i for c, _ in up) else {}
+    assert want[0] == 150
+    assert {r.node: r.depth for r in graph.inheritance_depth(spark.createDataFrame(up, "c int, p int"), "c", "p").collect()} == want
+    with pytest.raises(RuntimeError):
+        graph.inheritance_depth(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1)], "c int, p int"), "c", "p")
+    assert graph.inheritance_depth(spark.createDataFrame([], "c int, p int"), "c", "p").count() == 0
+
+
 def test_budget_and_diversity(spark):
     df = spark.createDataFrame([("g", 1, 0.9, 50), ("g", 2, 0.8, 60), ("g", 3, 0.7, 40), ("g", 4, 0.6, None), ("h", 5, 0.1, 10)], "g string, id int, s double, c long")
     assert rows(ranking.fill_budget(df, "g", "s", "c", "id", 100).select("id", "taken_before")) == [(1, 0), (3, 50), (4, 90), (5, 0)]
