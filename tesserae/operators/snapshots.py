@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.graph import ascents, inheritance_depth
 from tesserae.runtime import materialize
 
 
@@ -66,10 +67,28 @@ def replay(chain: DataFrame, changes: DataFrame, change_node: str, path: str, or
     return j.groupBy("node", path).agg(last.alias("_last")).where("not _last._deleted").select("node", path, *[F.col("_last")[v].alias(v) for v in value])
 
 
-def common_ancestors(chain: DataFrame, pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``a, b, ancestor, distance``: for each pair the shared ancestor with the least total depth, ties by name."""
-    ca = chain.select(F.col("node").alias(a), "ancestor", F.col("depth").alias("_da"))
-    cb = chain.select(F.col("node").alias(b), "ancestor", F.col("depth").alias("_db"))
-    j = pairs.select(a, b).distinct().join(ca, a).join(cb, [b, "ancestor"])
-    best = F.min(F.struct((F.col("_da") + F.col("_db")).alias("d"), "ancestor"))
-    return j.groupBy(a, b).agg(best.alias("_best")).select(a, b, F.col("_best.ancestor").alias("ancestor"), F.col("_best.d").alias("distance"))
+def common_ancestors(nodes: DataFrame, node: str, parent: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``a, b, ancestor, distance``: for each pair of nodes the nearest one that both descend from or are, and the steps between them.
+
+    The whole way up counts, through full snapshots and however long; each node is expected once. The deeper
+    end is lifted to the other's depth, then both as long as they differ, by ascents of 2**k steps.
+    """
+    known = nodes.select(F.col(node).alias("_n")).where("_n is not null")
+    up = materialize(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")).where("node is not null").join(known, F.col("up") == F.col("_n"), "left_semi"))
+    steps = ascents(up, "node", "up")
+    depths = known.join(inheritance_depth(up, "node", "up"), F.col("_n") == F.col("node"), "left").select("_n", F.coalesce("depth", F.lit(0)).alias("_d"))
+    ends = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    ends = ends.join(depths.toDF("a", "_da"), "a").join(depths.toDF("b", "_db"), "b")
+    deeper = F.col("_da") >= F.col("_db")
+    ends = materialize(ends.select("a", "b", F.when(deeper, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(deeper, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("_da") - F.col("_db")).alias("_lift"), F.abs(F.col("_da") - F.col("_db")).alias("distance")))
+    for k in reversed(range(len(steps))):
+        on = ends.join(steps[k].toDF("x", "_ux"), "x", "left")
+        lifted = F.col("_lift") >= 2**k
+        ends = materialize(on.select("a", "b", F.when(lifted, F.col("_ux")).otherwise(F.col("x")).alias("x"), "y", F.when(lifted, F.col("_lift") - 2**k).otherwise(F.col("_lift")).alias("_lift"), "distance"))
+    for k in reversed(range(len(steps))):
+        on = ends.join(steps[k].toDF("x", "_ux"), "x", "left").join(steps[k].toDF("y", "_uy"), "y", "left")
+        apart = F.coalesce(F.col("_ux") != F.col("_uy"), F.lit(False))
+        ends = materialize(on.select("a", "b", F.when(apart, F.col("_ux")).otherwise(F.col("x")).alias("x"), F.when(apart, F.col("_uy")).otherwise(F.col("y")).alias("y"), (F.col("distance") + F.when(apart, 2 ** (k + 1)).otherwise(0)).alias("distance")))
+    same = ends.where("x = y").select("a", "b", F.col("x").alias("ancestor"), "distance")
+    one_up = ends.where("x <> y").join(up.toDF("x", "_ux"), "x").join(up.toDF("y", "_uy"), "y").where("_ux = _uy").select("a", "b", F.col("_ux").alias("ancestor"), (F.col("distance") + 2).alias("distance"))
+    return same.unionByName(one_up).select(F.col("a").alias(a), F.col("b").alias(b), "ancestor", "distance")

@@ -76,7 +76,7 @@ def chain_replay(spark, root):
 j as (select p.a, p.b, x.ancestor, x.depth + y.depth d, row_number() over (partition by p.a, p.b order by x.depth + y.depth, x.ancestor) r from p join ch x on x.node = p.a join ch y on y.node = p.b and y.ancestor = x.ancestor) select a, b, ancestor, d as distance from j where r = 1""")
 def common_ancestors(spark, root):
     p = table(spark, root, "branches").select(F.col("base_checkpoint_id").alias("a"), F.col("head_checkpoint_id").alias("b")).where("a is not null and b is not null")
-    return snapshots.common_ancestors(_chains(spark, root), p, "a", "b")
+    return snapshots.common_ancestors(checkpoints_once(spark, root), "id", "parent_checkpoint_id", p, "a", "b")
 
 
 @query(f"with {_CP}, k as (select *, lower(trim(session_id)) s from cp) select s as session_id, branch_id, id, created_at from (select *, row_number() over (partition by s, branch_id order by created_at desc nulls last, id desc) r from k where s <> '') where r = 1")

@@ -78,6 +78,23 @@ def test_chains_stop_at_ends_cycles_and_unknown_parents(spark):
     assert {(r.path, r.h) for r in state.where("node = 'b'").collect()} == {("p", "h1"), ("z", "h3")}
 
 
+def test_common_ancestors_through_full_snapshots_and_long_chains(spark):
+    rng = random.Random(6)
+    up = {i: i - 1 for i in range(1, 80)} | {i: rng.randrange(i) for i in range(80, 120)} | {0: None, 200: None, 201: 200, 202: 201, 300: 999}
+
+    def above(n):
+        return [n, *(above(up[n]) if up.get(n) in up else [])]
+
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(200)] + [(79, 0), (0, 79), (5, 5), (79, 202), (202, 0), (201, 202), (300, 300), (300, 1), (1, 777), (None, 1)]
+    want = set()
+    for a, b in pairs:
+        both = [(above(a).index(n) + above(b).index(n), n) for n in above(a) if n in above(b)] if a in up and b in up else []
+        want |= {(a, b, n, d) for d, n in both[:1]}
+    nodes = spark.createDataFrame([(n, p, n % 5 == 0) for n, p in up.items()], "id int, up int, full boolean")
+    got = snapshots.common_ancestors(nodes, "id", "up", spark.createDataFrame(pairs, "l int, r int"), "l", "r")
+    assert rows(got.select("l", "r", "ancestor", "distance")) == sorted(want, key=str)
+
+
 def _closure(edges):
     reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
     while True:
