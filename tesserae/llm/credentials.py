@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -147,7 +148,7 @@ def is_credential(entry: Entry) -> bool:
     v = entry.value
     name = entry.path[-1] if entry.path else ""
     said = judge_name(name)
-    if said == 0 and len(entry.path) > 1 and name.lower() in ("value", "default", "data", "current", "main", "primary", "v"):
+    if said == 0 and len(entry.path) > 1 and (name.isdigit() or name.lower() in ("value", "default", "data", "current", "main", "primary", "v")):
         said = judge_name(entry.path[-2])
     if _UUID.fullmatch(v) or placeholder(v) or _HASHED.match(v):
         return False
@@ -168,6 +169,13 @@ _NAME_BEFORE = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[\w.\-/ ]{1,80})(?P=q)|(
 _CALL_BEFORE = re.compile(r"""\b(?P<call>[A-Za-z_]\w*)\(\s*(?:(?P<q>["'`])(?P<arg>[^"'`]*)(?P=q)\s*,\s*)?$""")
 _AUTH_CALL = re.compile(r"(?i)auth|login|connect|header|credential|password|passwd|secret|token|api_?key|sign_?in|set_?pass|with_?key")
 _CONFIG_LINE = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:-[ \t]+)?(?:export[ \t]+)?(?P<k>[\"']?[\w.\-/]+[\"']?)[ \t]*(?P<sep>[:=])[ \t]*(?P<v>[^\n\r]*)")
+_YAML_LINE = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:(?:-[ \t]+)*(?P<k>[\"']?[\w.\-/]+[\"']?)[ \t]*(?P<sep>:(?=[ \t\r\n]|$)|=|:)[ \t]*|(?:-[ \t]+)+)(?P<v>[^\n\r]*)")
+_YAML_MARK = re.compile(r"(?:[&!][^\s,\[\]{}]*[ \t]+)+")
+_BLOCK_HEAD = re.compile(r"[|>][+\-\d]*(?:[ \t]+#.*)?")
+_FLOW_PARTS = r"""(?P<open>[{\[])|(?P<mark>[}\],])|(?P<sep>%s)|(?P<q>["'])(?P<s>(?:\\[\s\S]|(?!(?P=q))[^\\])*)(?P=q)|(?:\#|//)[^\n]*|(?P<plain>%s)"""
+_FLOW = re.compile(_FLOW_PARTS % (":", r"""(?:[^\s{}\[\],:"'#]|:(?=[^\s,}\]]))(?:[^\s{}\[\],:]|:(?=[^\s,}\]])|[ \t]+(?=[^\s{}\[\],:#]))*"""))
+_FLOW_TABLE = re.compile(_FLOW_PARTS % ("=", r"""[^\s{}\[\],="'#]+"""))
+_BARE_ISSUED = re.compile(rf"(?<![\w\-])(?:{_ISSUED.pattern})(?![\w\-])")
 _SECTION = re.compile(r"(?m)^[ \t]*\[+([^\]\n]+)\]+")
 _PROSE = re.compile(r"(?m)^[ \t]*(?://+|#+|--|;+|\*+|<!--|/\*+|\"\"\"|''')[^\n]*")
 _COMMENT_PAIR = re.compile(r"([A-Za-z][\w .\-]*?)\s*(?::|=|\bis\b)\s*(\S{6,})")
@@ -186,23 +194,103 @@ def extension(path: str | None) -> str:
     return base.rsplit(".", 1)[-1] if "." in base else ""
 
 
+def _flow_entries(text: str, at: int, path: tuple[str, ...], equals: bool = False) -> Generator[Entry, None, int]:
+    """Scalars of the JSON value, flow mapping or inline table that opens at ``at``, with keys and places in lists as path; returns its end."""
+    stack: list[list] = []  # of [is mapping, key or None, items so far]
+    last: tuple[str, int, int] | None = None
+
+    def inner() -> tuple[str, ...]:
+        return (*path, *[("" if f[1] is None else f[1]) if f[0] else str(f[2]) for f in stack])
+
+    for m in (_FLOW_TABLE if equals else _FLOW).finditer(text, at):
+        if m["open"]:
+            stack.append([m["open"] == "{", None, 0])
+            last = None
+        elif m["sep"]:
+            if stack and stack[-1][0] and last and stack[-1][1] is None:
+                stack[-1][1], last = last[0], None
+        elif m["mark"]:
+            if last:
+                yield Entry(inner(), last[0], ((last[1], last[2]),), "config")
+                last = None
+            if m["mark"] == ",":
+                stack[-1][1], stack[-1][2] = None, stack[-1][2] + 1
+            else:
+                stack.pop()
+            if not stack:
+                return m.end()
+        elif m["q"]:
+            v = m["s"]
+            if "\\" in v and m["q"] == '"':
+                try:
+                    v = json.loads(f'"{v}"')
+                except ValueError:
+                    pass
+            last = (v, *m.span("s"))
+        elif m["plain"]:
+            last = (m["plain"].rstrip(), m.start("plain"), m.start("plain") + len(m["plain"].rstrip()))
+    return len(text)
+
+
+def _lines_entries(lines: list[tuple[int, str]], path: tuple[str, ...]) -> Iterator[Entry]:
+    """A value over several lines: wrapped letters as one, else each line that is one word."""
+    words = [(at + len(x) - len(x.lstrip()), x.strip()) for at, x in lines if x.strip()]
+    if len(words) > 1 and len(words[0][1]) >= 16 and all(" " not in w and len(w) == len(words[0][1]) for _, w in words[:-1]) and " " not in words[-1][1] and len(words[-1][1]) <= len(words[0][1]):
+        yield Entry(path, "".join(w for _, w in words), tuple((at, at + len(w)) for at, w in words), "config")
+    else:
+        for at, w in words:
+            if " " not in w:
+                yield Entry(path, w, ((at, at + len(w)),), "config")
+
+
+def _block(text: str, at: int, depth: int) -> Iterator[tuple[int, str]]:
+    """Offset and text of the lines from ``at`` on that are blank or further in than ``depth``."""
+    while 0 < at < len(text):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
+        if line.strip() and len(line) - len(line.lstrip()) <= depth:
+            return
+        yield at, line
+        at = end + 1
+
+
 def _config_entries(text: str, kind: str) -> Iterator[Entry]:
-    """Unquoted and quoted scalars of line-oriented formats, with their sections or parents as key path."""
+    """Scalars of line-oriented formats, with their sections or parents as key path."""
+    yaml = kind in ("yml", "yaml")
     sections = [(m.start(), tuple(m[1].replace('"', "").split("."))) for m in _SECTION.finditer(text)] if kind in ("ini", "toml", "cfg", "conf", "properties") else []
     starts = [s for s, _ in sections]
     parents: list[tuple[int, str]] = []
-    for m in _CONFIG_LINE.finditer(text):
-        key = m["k"].strip("\"'")
-        if kind in ("yml", "yaml"):
-            depth = len(m["indent"])
-            while parents and parents[-1][0] >= depth:
+    flow = 0
+    for m in (_YAML_LINE if yaml else _CONFIG_LINE).finditer(text):
+        key = (m["k"] or "").strip("\"'")
+        depth = len(m["indent"])
+        if yaml:
+            while parents and parents[-1][0] >= depth + (not m["k"]):
                 parents.pop()
-            path = (*[p for _, p in parents], key)
-            parents.append((depth, key))
+            path = (*[p for _, p in parents], key or "0")
+            if m["k"]:
+                parents.append((depth, key))
         else:
             at = bisect_right(starts, m.start()) - 1
             path = (*(sections[at][1] if at >= 0 else ()), key)
         value, start = m["v"].rstrip(), m.start("v")
+        if yaml and (mark := _YAML_MARK.match(value)):
+            value, start = value[mark.end() :], start + mark.end()
+        if yaml and _BLOCK_HEAD.fullmatch(value):
+            yield from _lines_entries(list(_block(text, text.find("\n", start) + 1, depth)), path)
+            continue
+        if kind == "toml" and value[:3] in ('"""', "'''"):
+            end = text.find(value[:3], start + 3)
+            lines, at = [], start + 3
+            for line in text[at : end if end >= 0 else at].split("\n"):
+                lines.append((at, line[:-1] if line.endswith("\\") else line))
+                at += len(line) + 1
+            yield from _lines_entries(lines, path)
+            continue
+        if (yaml or kind == "toml") and value[:1] in ("{", "["):
+            if start >= flow:
+                flow = yield from _flow_entries(text, start, path, kind == "toml")
+            continue
         if value[:1] in ("'", '"'):
             end = value.find(value[0], 1)
             if end < 0:
@@ -316,6 +404,11 @@ def find(text: str, kind: str) -> list[tuple[int, list[tuple[int, int]]]]:
             else:
                 for m in _BARE_PAIR.finditer(text):
                     yield Entry((m["k"],), m["v"], (m.span("v"),), "config")
+                if kind == "json" and (opened := re.search(r"[{\[]", text)):
+                    yield from _flow_entries(text, opened.start(), ())
+            if kind in CONFIG:
+                for m in _BARE_ISSUED.finditer(text):
+                    yield Entry((), m[0], (m.span(),), "config")
             yield from _string_entries(text)
             for m in _PROSE.finditer(text):
                 yield from _prose_entries(m[0], m.start())

@@ -34,6 +34,36 @@ CLEAN = [
     ("ts", "// Password rules of total-lantern are checked upstream."),
 ]
 
+NESTED = [
+    ("yml", "db:\n  password: |\n    Abcd1234!\n  port: 1\n", {3}),
+    ("yml", "password: >-  # folded\n\n  Abcd1234!\nuser: x\n", {3}),
+    ("yml", "db: &base\n  password: &pw Abcd1234!\n", {2}),
+    ("yml", "db: {user: joe, password: Abcd1234!, port: 12}\n", {1}),
+    ("yml", "users:\n  - {user: joe,\n     password: {value: Abcd1234!}}\n", {3}),
+    ("yml", "password:\n  - Abcd1234!\n", {2}),
+    ("yml", f"notes: |\n  first line\n  see {TOKEN} there\n", {3}),
+    ("json", '{"password": {"value": "Abcd1234!"}}', {1}),
+    ("json", '{"a": [1, {"password":\n {"hint": "x", "default": "Abcd\\"1234!"}}]}', {2}),
+    ("toml", 'password = """\nAbcd1234!"""\n', {2}),
+    ("toml", "[db]\nlogin = { password = { value = 'Abcd1234!' } }\n", {2}),
+]
+NESTED_CLEAN = [
+    ("json", '{"password": {"minimum": "Abcd1234!"}, "value": "Abcd1234!"}'),
+    ("yml", "password:\n  rule: |\n    Abcd1234!\nother: {value: Abcd1234!}\n"),
+]
+
+
+@pytest.mark.parametrize(("kind", "text", "lines"), NESTED)
+def test_found_in_nested_values(kind, text, lines):
+    assert {text.count("\n", 0, s) + 1 for s, _ in find(text, kind)} == lines
+    assert "Abcd" not in redact(text, kind) and TOKEN not in redact(text, kind)
+    assert [len(x) for x in redact(text, kind).split("\n")] == [len(x) for x in text.split("\n")]
+
+
+@pytest.mark.parametrize(("kind", "text"), NESTED_CLEAN)
+def test_clean_in_nested_values(kind, text):
+    assert redact(text, kind) == text
+
 
 @pytest.mark.parametrize(("kind", "text", "lines"), FOUND)
 def test_found(kind, text, lines):
