@@ -98,6 +98,21 @@ _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
 
+_KEY_LINE = re.compile(r"(?:\\[nrt]|//|\+(?=\s)|[^A-Za-z0-9+/=])*[A-Za-z0-9+/]{24,}={0,2}")
+_KEY_LAST = re.compile(r"(?:\\[nrt]|//|\+(?=\s)|[^A-Za-z0-9+/=])*(?:[A-Za-z0-9+/]+={1,2}|(?=[A-Za-z+/]*\d)[A-Za-z0-9+/]{2,})(?=[\s\"'`,;\\]|$)")
+_KEY_HEADS = re.compile(r"(?:\\[nrt]|\W)*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):[^\n\\]*(?:\s|\\[nrt])*)*")
+
+
+def _key_body_end(text: str, at: int) -> int:
+    """Where the lines of key letters that follow ``at`` end, however many; a short last one belongs to them."""
+    if heads := _KEY_HEADS.match(text, at):
+        at = heads.end()
+    while line := _KEY_LINE.match(text, at):
+        at = line.end()
+    last = _KEY_LAST.match(text, at)
+    return last.end() if last else at
+
+
 def placeholder(v: str) -> bool:
     return bool(_PLACEHOLDER.search(v) or _MASKED.fullmatch(v) or len(set(v)) < 4)
 
@@ -371,7 +386,7 @@ def find(text: str, kind: str) -> list[tuple[int, list[tuple[int, int]]]]:
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
             end = _PEM_END.search(text, m.end())
-            stop = end.start() if end else min(len(text), m.end() + 4000)
+            stop = end.start() if end else max(min(len(text), m.end() + 4000), _key_body_end(text, m.end()))
             body = text[m.end() : stop]
             if len(re.findall(r"[A-Za-z0-9+/]", body)) >= 40 and not placeholder(body.strip()[:12] or "xxxx"):
                 # everything but line structure, indentation and what encloses each line

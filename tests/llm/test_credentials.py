@@ -1,4 +1,5 @@
 import json
+import random
 import tomllib
 
 import pytest
@@ -60,6 +61,16 @@ def test_found_in_nested_values(kind, text, lines):
     assert [len(x) for x in redact(text, kind).split("\n")] == [len(x) for x in text.split("\n")]
 
 
+@pytest.mark.parametrize(("before", "glue"), [("", "\n"), ("// ", "\n// "), ("", "\\n"), ('"', '\\n" +\n  "')])
+def test_key_without_end_is_blanked_to_its_last_line(before, glue):
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=64)) for _ in range(150)] + ["q7Zk3w=="]
+    text = before + "-----BEGIN RSA PRIVATE KEY-----" + glue + glue.join(lines) + "\n\nplain words after it\n"
+    done = redact(text, "txt")
+    assert not any(x[:20] in done or x[-20:] in done for x in lines[:-1]) and "q7Zk3w" not in done
+    assert len(done) == len(text) and done.endswith("\n\nplain words after it\n")
+
+
 @pytest.mark.parametrize(("kind", "text"), NESTED_CLEAN)
 def test_clean_in_nested_values(kind, text):
     assert redact(text, kind) == text
