@@ -63,7 +63,7 @@ def triples(texts: list[str | None], least_tokens: int) -> tuple[np.ndarray, np.
     # Polynomial hash of each token from sums over its letters, by its place inside the token.
     place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(raw)]])))
     longest = int((end - start).max())
-    power = np.cumprod(np.concatenate([[1], np.full(min(longest, 1 << 22), 0x100000001B3, dtype=np.uint64)]).astype(np.uint64))
+    power = np.cumprod(np.concatenate([[1], np.full(longest, 0x100000001B3, dtype=np.uint64)]).astype(np.uint64))
     letter = np.where(inside, (raw.astype(np.uint64) + np.uint64(1)) * power[np.where(inside, place, 0)], 0)
     token = _mix(np.add.reduceat(letter, start) + (end - start).astype(np.uint64))
     row = np.searchsorted(np.cumsum(size), start, side="right")

@@ -57,3 +57,10 @@ def test_a_third_of_the_rows_is_one_family(spark):
 
 def test_empty(spark):
     assert neardup.near_duplicate_pairs(spark.createDataFrame([], "id long, path string, t string"), "id", "path", "t").count() == 0
+
+
+def test_one_token_of_millions_of_letters():
+    long = "ab12" * 1_100_000
+    row, h = neardup.triples([f"one two {long} three", f"one two {long}x three", f"one two {long} three"], 3)
+    sets = [set(h[row == i].tolist()) for i in range(3)]
+    assert sets[0] == sets[2] and len(sets[0]) == 2 and not sets[0] & sets[1]
