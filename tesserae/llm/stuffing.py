@@ -1,17 +1,20 @@
 """Pages of repeated keywords, links or product tags instead of sentences.
 
-A page is cut into lines and sentences. What has clause structure (function words among enough other
-words, and no content word said twice over) or is technical (code, logs, traces, paths) is set apart;
-a page made mostly of such lines is settled. For the rest a suffix automaton over the page's words
-gives every repeated maximal substring, and the characters they cover are combined with the missing
-clauses and with the share of links.
+A page's lines are set apart if they are technical (code, logs, traces, paths). All others are cut into
+sentences and tokens (words, runs of marks, the beginnings of links). A suffix automaton over the page's
+tokens gives its repeated maximal substrings, of which those of some length count, and with them the
+characters that they cover. A sentence says something by its structure, in whatever language: it is closed
+by a full stop or the like, has a few words, hardly a separator or link among them, and no word over and
+over. A page is stuffed if enough of it is covered by repeats outside of such sentences.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,193 +22,199 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.tokens import slices
 
-# Closed-class words of English, German, French and Spanish.
-FUNCTION_WORDS = frozenset(
-    """a an the of to in into on at by from with without for and or but nor so if then than because while when where before after until since as is are was were be
-    been being am do does did has have had will would can could shall should may might must not no this that these those it its he she they we you i us our your
-    their his her them who whom whose which what why how there here only both each every some any all more most such very too also just over under between about
-    against during through out up down off again
-    der die das den dem des ein eine einen einem einer eines und oder aber denn weil wenn als dass ob bevor nachdem während bis seit ist sind war waren sein wird
-    werden wurde wurden hat haben hatte hatten kann können muss müssen soll sollen darf nicht kein keine ich du er sie es wir ihr uns mich mir dich sich mein dein
-    unser euer ihre für mit ohne auf in im an am aus bei beim von vom zu zum zur nach vor über unter zwischen durch gegen um noch nur auch schon sehr wie was wer
-    warum wo erst genau
-    le la les l un une des du de d et ou mais donc car que qui quoi dont où est sont était étaient être a ont avait avons avez ne pas plus je tu il elle on nous vous
-    ils elles me te se ce cet cette ces mon ton son sa ses notre votre leur leurs pour avec sans sur sous dans par en au aux chez entre avant après pendant depuis
-    quand comme si très aussi parce lors chaque reste faut
-    el los las una unos unas y o pero porque que quien cual cuyo donde cuando como si es son era eran ser fue fueron está están ha han había hay no ni yo tú él ella
-    nosotros ellos ellas me te se lo le les mi tu su sus nuestro este esta estos estas ese esa aquel para por con sin sobre bajo en entre hasta desde antes después
-    durante al del muy más también ya cada sea qué quién cómo cuál cuándo dónde hay puede puedes pueden debe podemos peux peut peuvent pouvez dois doit
-    pourquoi comment welche welcher welches dieser diese dieses jede jeder jedes kannst muss musst sollte""".split()
-)
 _HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u202a-\u202e]")
 _LEET = str.maketrans("0134578", "oieastb")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_LINK = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/[^\s<>()\[\]\"']*", re.IGNORECASE)
-_MARKED_LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\b[^>]*>.*?</a>", re.IGNORECASE)
-_TAG = re.compile(r"(?<![\w&])#[^\W\d_][\w-]*")
-_SENTENCE = re.compile(r"[^.!?]+(?:[.!?]+(?!\s|$)[^.!?]*)*[.!?]*\s*")
+# Scripts written without blanks: each letter is a token of its own.
+_SOLID = "\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_TOKEN = re.compile(r"https?://|www\.|\w+|[^\w\s]+")
+_HAS_SOLID = re.compile(f"[{_SOLID}]")
+_SOLID_TOKEN = re.compile(rf"https?://|www\.|[{_SOLID}]|[^\W{_SOLID}]+|[^\w\s]+")
+_STOPS = ".!?\u3002\uff01\uff1f\u2026\u061f\u06d4\u0964\u104b\u17d4"
+_SENTENCE = re.compile(rf"[^{_STOPS}]+(?:[{_STOPS}]+(?=[^\s{_STOPS}\u3040-\u9fff])[^{_STOPS}]*)*[{_STOPS}]*|[{_STOPS}]+")
+_SEPARATORS = frozenset(",;:/|\u00b7\u2022#\uff0c\u3001\uff1b\uff1a\u060c") | {"https://", "http://", "www."}
+_ENDS = tuple(_STOPS)
+_CLOSERS = "\"'\u00bb\u201d\u2019)*_` "
 _TECHNICAL = re.compile(
     r"\s*(?:at\s+\S.*:\d+\)?|File \".*\", line \d+|Traceback \(most|Caused by:|(?:[\w.]*(?:Error|Exception|Warning|panicked))\b.*:?"
     r"|[\[(]?\d{1,4}[-:/.]\d{1,2}[-:/.T]\d{1,4}\S*\s.*|.*\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b.*\d.*"
     r"|[-*+\s>|`]*(?:[\w.@~-]+/)+[\w.@-]*\.\w{1,10}`?(?:[:(]\d+\S*)?[\s,;]*|[-+]{3} \S+|@@ .*@@|diff --git .*|\$ \S.*|[MADRU?]{1,2}\s+\S+/\S+\s*)$"
 )
 _CODE_LETTERS = re.compile(r"[{}();=\[\]<>|&\\]")
-#: Shares of a page's characters.
-CLAUSES_SETTLE, UNSAID, COVERED, LINKED = 0.5, 0.55, 0.35, 0.25
-#: A page with hardly a clause at all needs less repetition, if it is long enough to show any.
-SILENT, SILENT_WORDS, SILENT_COVERED = 0.8, 30, 0.12
-LEAST_WORDS = 12
-
-
-def covered_tokens(tokens: list[int]) -> list[bool]:
-    """Which tokens lie in a substring that occurs at least twice, by the suffix automaton of the sequence."""
-    n = len(tokens)
-    link, length, moves, count, at = [-1], [0], [{}], [0], []
-    last = 0
-    for t in tokens:
+_CODE_SHAPE = re.compile(r"[;{}(]\s*$|\)\s*[;:,{]?$|^\s*[})\]]|=>|\w\(.*\)|\w\s*=\s*\S")
+#: A repeated substring counts from so many characters on, blanks between its tokens left out.
+LEAST_SPAN = 5
+#: Share of a page's characters that repeats outside of sentences must cover; less where it is strung phrases.
+COVERED, STRUNG_COVERED = 0.3, 0.08
+#: Share of a page that must not be said in sentences.
+UNSAID = 0.55
+#: Words that a page must have not to be a short text, and a sentence to say something.
+LEAST_WORDS, LEAST_SAID = 12, 4
+#: Phrases are strung if separators leave parts of at most so many words, and so many such parts.
+STRUNG_WORDS, STRUNG_PARTS = 4, 8
+
+
+def covered_tokens(tokens: list[str], least: int = LEAST_SPAN) -> list[bool]:
+    """Which tokens lie in a substring of at least ``least`` characters that occurs at least twice.
+
+    By the suffix automaton of the token sequence. Two neighbours that are such nowhere else end every repeated
+    substring, so the automaton reads the runs of repeated neighbours with marks between them that nothing
+    equals; a token without such neighbours is repeated by itself or not at all. This does not change the cover.
+    """
+    times = Counter(tokens)
+    pairs = Counter(zip(tokens, tokens[1:]))
+    linked = [pairs[p] > 1 for p in zip(tokens, tokens[1:])]
+    covered = [times[t] > 1 and len(t) >= least for t in tokens]
+    places: list[int] = []
+    i, n = 0, len(linked)
+    while i < n:
+        if not linked[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and linked[j]:
+            j += 1
+        if sum(map(len, tokens[i : j + 1])) >= least:
+            places += range(i, j + 1)
+            places.append(-1)
+        i = j + 1
+    if not places:
+        return covered
+    link, length, count, moves = [-1], [0], [0], [{}]
+    ids: dict[str, int] = {}
+    at, last, mark = [], 0, -1
+    for place in places:
+        if place < 0:
+            t, mark = mark, mark - 1
+        else:
+            t = ids.setdefault(tokens[place], len(ids))
         new = len(link)
-        link.append(0)
         length.append(length[last] + 1)
-        moves.append({})
         count.append(1)
+        moves.append({})
         p = last
-        while p >= 0 and t not in moves[p]:
-            moves[p][t] = new
+        while p >= 0 and t not in (m := moves[p]):
+            m[t] = new
             p = link[p]
-        if p >= 0:
-            q = moves[p][t]
+        if p < 0:
+            link.append(0)
+        else:
+            q = m[t]
             if length[p] + 1 == length[q]:
-                link[new] = q
+                link.append(q)
             else:
-                twin = len(link)
-                link.append(link[q])
+                twin = new + 1
+                link += (twin, link[q])
                 length.append(length[p] + 1)
-                moves.append(dict(moves[q]))
                 count.append(0)
+                moves.append(moves[q].copy())
+                link[q] = twin
                 while p >= 0 and moves[p].get(t) == q:
                     moves[p][t] = twin
                     p = link[p]
-                link[q] = link[new] = twin
         last = new
         at.append(new)
+    del moves
     for v in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
         count[link[v]] += count[v]
     # The longest repeated substring that ends at each place is maximal to the left; their union is the cover.
-    covered, reach = [False] * n, n
-    for i in range(n - 1, -1, -1):
+    sizes = [0, *accumulate(len(tokens[i]) if i >= 0 else 0 for i in places)]
+    reach = len(places)
+    for i in range(len(places) - 1, -1, -1):
         v = at[i]
         while v > 0 and count[v] < 2:
             v = link[v]
-        if v > 0:
-            reach = min(reach, i - length[v] + 1)
+        begin = i - length[v] + 1
+        if begin < reach and v > 0 and sizes[i + 1] - sizes[begin] >= least:
+            reach = begin
         if reach <= i:
-            covered[i] = True
+            covered[places[i]] = True
         else:
-            reach = n
+            reach = len(places)
     return covered
 
 
-def plain_words(text: str) -> list[str]:
-    """Words in lower case, with look-alike digits inside words read as letters."""
-    out = []
-    for w in _WORD.findall(text.lower()):
-        if not w.isalpha() and not w.isdigit() and any(c.isalpha() for c in w):
-            w = w.translate(_LEET)
-        out.append(w)
-    return out
+def plain(token: str) -> str:
+    """A token with look-alike digits inside a word read as letters."""
+    if token.isalpha() or token.isdigit() or not token[-1].isalnum():
+        return token
+    return token.translate(_LEET) if any(map(str.isalpha, token)) else token
 
 
-def _is_clause(sentence: str) -> bool:
-    words = _WORD.findall(sentence.lower())
-    if len(words) < 4:
+def says_something(sentence: str, tokens: list[str]) -> bool:
+    """Clause structure in any language: closed, enough words, few separators, and no word over and over."""
+    if not sentence.rstrip(_CLOSERS).endswith(_ENDS):
         return False
-    functional = sum(w in FUNCTION_WORDS for w in words)
-    if functional < 2 or functional < 0.14 * len(words):
+    words = [t for t in tokens if t[0].isalpha()]
+    # A letter of a script without blanks is half a word.
+    n = len(words) - (0 if sentence.isascii() else 0.5 * sum(len(t) == 1 and t >= "\u0e00" for t in words))
+    if n < LEAST_SAID or 4 * sum(map(_SEPARATORS.__contains__, tokens)) > n:
         return False
-    seen: dict[str, int] = {}
-    for w in words:
-        if len(w) > 2 and w not in FUNCTION_WORDS and not w.isdigit():
-            seen[w] = seen.get(w, 0) + 1
-    twice = sum(n for n in seen.values() if n > 1)
-    return twice < 0.34 * max(1, sum(seen.values())) or max(seen.values(), default=0) < 2
-
-
-def shares(text: str) -> tuple[float, float, float, str, int]:
-    """``(clauses, technical, links, the rest of the text, words)``: shares of the page's non-blank characters."""
-    clean = _HIDDEN.sub("", unicodedata.normalize("NFKC", text) if not text.isascii() else text)
-    total = clauses = technical = links = words = 0
-    rest: list[str] = []
-    fenced = False
+    long = [t for t in words if len(t) > 3]
+    return len(set(long)) == len(long) or sum(k for k in Counter(long).values() if k > 1) <= 0.34 * len(long)
+
+
+def is_strung(tokens: list[str]) -> bool:
+    """Many short phrases with separators between them."""
+    parts = words = 0
+    for t in [*tokens, ","]:
+        if t in _SEPARATORS:
+            parts += 0 < words <= STRUNG_WORDS
+            if words > 2 * STRUNG_WORDS:
+                return False
+            words = 0
+        elif t[0].isalnum():
+            words += 1
+    return parts >= STRUNG_PARTS
+
+
+def shares(text: str) -> tuple[float, float, float, int]:
+    """``(unsaid, repeated, strung, words)``: shares of the page's characters outside of sentences and technical lines, those of them that repeats cover and those in strung phrases, and the number of words."""
+    clean = text if text.isascii() else _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    technical, fenced = 0, False
+    cut = _TOKEN if text.isascii() or not _HAS_SOLID.search(clean) else _SOLID_TOKEN
+    tokens: list[str] = []
+    sentences: list[tuple[str, int, int]] = []
     for line in clean.split("\n"):
         body = line.strip()
         if not body:
             continue
-        size = len(body)
-        total += size
-        if body.startswith("```") or body.startswith("~~~"):
+        if body.startswith(("```", "~~~")):
             fenced = not fenced
-            technical += size
-            continue
-        if fenced:
-            technical += size
-            continue
-        marked = "://" in body or "www." in body or "](" in body or "/" in body or "#" in body
-        if _TECHNICAL.match(body):
-            technical += size
-            continue
-        plain = body
-        if marked:
-            linked = 0
-            plain = _MARKED_LINK.sub(" ", body) if "](" in body or "<a" in body.lower() else body
-            linked += len(body) - len(plain)
-            bare = _LINK.sub(" ", plain)
-            linked += len(plain) - len(bare)
-            plain = bare
-            if "#" in plain:
-                untagged = _TAG.sub(" ", plain)
-                linked += len(plain) - len(untagged)
-                plain = untagged
+            technical += len(body)
+        elif fenced or _TECHNICAL.match(body):
+            technical += len(body)
+        elif len(_CODE_LETTERS.findall(body)) > 0.05 * len(body) + 1 and _CODE_SHAPE.search(body) and not ("://" in body or "www." in body or "](" in body or "#" in body or "/" in body):
+            technical += len(body)
         else:
-            linked = 0
-        if not linked and len(_CODE_LETTERS.findall(body)) > 0.05 * size + 1 and re.search(r"[;{}(]\s*$|\)\s*[;:,{]?$|^\s*[})\]]|=>|\w\(.*\)|\w\s*=\s*\S", body):
-            technical += size
-            continue
-        said = 0
-        for sentence in _SENTENCE.findall(plain):
-            if _is_clause(sentence):
-                said += len(sentence)
-        words += len(plain) // 6 + linked // 12
-        # A sentence speaks for the link it annotates.
-        if said > 0.5 * len(plain.strip()) and said > 25 and linked < 3 * said:
-            clauses += size
-            continue
-        clauses += said
-        links += min(linked, size - min(size, said))
-        if size > said:
-            rest.append(body)
-    total = max(total, 1)
-    return clauses / total, technical / total, links / total, "\n".join(rest), words
+            for sentence in _SENTENCE.findall(body):
+                found = cut.findall(sentence.lower())
+                if found:
+                    sentences.append((sentence, len(tokens), len(tokens) + len(found)))
+                    tokens += found
+    size = sum(map(len, tokens))
+    if not size or technical > size:
+        return 0.0, 0.0, 0.0, 0
+    covered = covered_tokens([t if t.isalpha() else plain(t) for t in tokens])
+    upto = [0, *accumulate(map(len, tokens))]
+    repeated_upto = [0, *accumulate(len(t) if c else 0 for t, c in zip(tokens, covered))]
+    unsaid = repeated = strung = 0
+    for sentence, a, b in sentences:
+        if not says_something(sentence, tokens[a:b]):
+            unsaid += upto[b] - upto[a]
+            repeated += repeated_upto[b] - repeated_upto[a]
+            if is_strung(tokens[a:b]):
+                strung += upto[b] - upto[a]
+    words = sum(t[0].isalnum() for t in tokens)
+    total = size + technical
+    return unsaid / total, repeated / total, strung / total, words
 
 
 def is_stuffed(text: str) -> bool:
     """Whether the page is mostly keywords, links or tags; short and empty texts never are."""
-    if len(text) < 60 or not text.strip():
-        return False
-    clauses, technical, links, rest, _ = shares(text)
-    unsaid = 1 - clauses - technical
-    if clauses + technical >= CLAUSES_SETTLE or unsaid < UNSAID:
+    unsaid, repeated, strung, words = shares(text)
+    if words < LEAST_WORDS or unsaid < UNSAID:
         return False
-    words = plain_words(rest)
-    if len(words) < LEAST_WORDS:
-        return False
-    if links >= LINKED:
-        return True
-    ids: dict[str, int] = {}
-    tokens = [ids.setdefault(w, len(ids)) for w in words]
-    covered = covered_tokens(tokens)
-    size = sum(map(len, words))
-    needed = SILENT_COVERED if unsaid >= SILENT and len(words) >= SILENT_WORDS else COVERED
-    return sum(len(w) for w, c in zip(words, covered) if c) >= needed * size
+    return repeated >= (STRUNG_COVERED if strung >= UNSAID else COVERED)
 
 
 def stuffed_pages(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
