@@ -1,12 +1,14 @@
 """Filling fixed-capacity containers with items, from a histogram of their sizes.
 
-What is decided centrally depends on the capacity alone, never on the number of items: the counts
-per size (at most capacity + 1 numbers) reach the driver, a dynamic programme cuts the sizes into
-buckets so that rounding each item up to its bucket's bound wastes least, and batches are formed
-bucket by bucket, largest first, as patterns with a multiplicity. Room that a bucket's own items
-leave is topped up from the next smaller buckets, since batches of one bucket alone would waste the
-remainder of capacity divided by bound. Each item then finds its container from its rank inside its
-bucket by arithmetic; ranks come from salted windows, so one size may hold any share of the rows.
+What is decided centrally depends on the capacity alone, never on the number of items. The counts per size
+(at most capacity + 1 numbers) reach the driver and a dynamic programme cuts the sizes into length buckets so
+that rounding each item up to its bucket's bound would waste least. Batches form inside a bucket under the
+token budget: a batch opens with the largest bucket that has items left and takes its items, largest first,
+as long as they fit by their own sizes. Room that a bucket's own items leave is topped up from the next
+smaller bucket whose bound fits, since batches of one bucket alone would waste the remainder of capacity
+divided by bound. Batches of one kind are planned once, with a multiplicity. Each item then finds its container
+from its rank among the items of its size by arithmetic; ranks come from salted windows, so one size may hold
+any share of the rows.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets at most; sizes beyond that many different ones are rounded up to a bucket's bound.
-BUCKETS = 2048
-#: Rows that one window group holds, on average, of one bucket.
+#: Length buckets per capacity, fewer only where there are fewer sizes. More of them fill better and plan slower.
+BUCKETS = 128
+#: Rows that one window group holds, on average, of one size.
 GROUP_ROWS = 200_000
 
 
@@ -68,47 +70,57 @@ def bucket_bounds(sizes: list[int], counts: list[int], buckets: int = BUCKETS) -
     return cut(high)
 
 
-def batch_patterns(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Batches as ``([(bucket, items of it)], how many such batches)``; every item is in exactly one.
+def batch_patterns(sizes: list[int], counts: list[int], bounds: list[int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Batches as ``([(place of the size, items of it)], how many such batches)``; every item is in exactly one.
 
-    A batch opens with the largest bucket that has items left and takes, again and again, the
-    largest item that fits. The same pattern is repeated until one of its buckets runs short.
+    ``sizes`` are ascending, positive and different, ``bounds`` those that end a bucket. The same batch is
+    repeated until one of its sizes runs short, so there are no more kinds of batches than sizes.
     """
-    left, live, out = list(counts), [i for i, c in enumerate(counts) if c], []
-    while live:
-        pattern: list[tuple[int, int]] = []
+    left, out = list(counts), []
+    begin = [0, *(bisect_right(sizes, b) for b in bounds)]
+    largest = [e - 1 for e in begin[1:]]  # of each bucket, the place of the largest size with items left
+    live = list(range(len(bounds)))
+    while live := [j for j in live if largest[j] >= begin[j]]:
+        picks: dict[int, int] = {}
+        touched = {live[-1]}
         room, top = capacity, len(live)
-        while room > 0 and top > 0:
-            top = bisect_right(live, room, hi=top, key=bounds.__getitem__) if bounds[live[top - 1]] > room else top
-            if not top:
-                break
-            i = live[top - 1]
-            take = min(left[i], room // bounds[i]) if bounds[i] else left[i]
-            pattern.append((i, take))
-            room -= take * bounds[i]
-            top -= 1
-        times = min(left[i] // k for i, k in pattern)
-        for i, k in pattern:
+        place = largest[live[-1]]
+        while room and top:
+            j = live[top - 1]
+            while place >= begin[j] and left[place] == picks.get(place, 0):
+                place -= 1
+            if place >= begin[j] and sizes[place] <= room:
+                k = min(left[place] - picks.get(place, 0), room // sizes[place])
+                picks[place] = picks.get(place, 0) + k
+                room -= k * sizes[place]
+                continue
+            # Nothing of this bucket fits any more; on to the next one whose bound does, or that holds the room.
+            top = min(top - 1, bisect_right(live, bisect_right(bounds, room)))
+            if top:
+                place = largest[live[top - 1]]
+                touched.add(live[top - 1])
+        times = min(left[i] // k for i, k in picks.items())
+        for i, k in picks.items():
             left[i] -= k * times
-        out.append((pattern, times))
-        live = [i for i in live if left[i]]
+        out.append((list(picks.items()), times))
+        for j in touched:
+            while largest[j] >= begin[j] and not left[largest[j]]:
+                largest[j] -= 1
     return out
 
 
 class Layout:
-    """Where the n-th item of each bucket goes, as sorted segments of ranks."""
+    """Where the n-th item of each size goes, as sorted segments of ranks."""
 
     def __init__(self, sizes: list[int], counts: list[int], capacity: int, buckets: int):
         zero = counts[0] if sizes and sizes[0] == 0 else 0
         sizes, counts = (sizes[1:], counts[1:]) if sizes and sizes[0] == 0 else (sizes, counts)
+        self.sizes = np.array(sizes, dtype=np.int64)
         self.bounds = bucket_bounds(sizes, counts, buckets) if sizes else []
-        held = [0] * len(self.bounds)
-        for s, c in zip(sizes, counts):
-            held[int(np.searchsorted(self.bounds, s))] += c
         segments: list[tuple[int, int, int, int]] = []
-        used, container = [0] * len(held), 0
-        for pattern, times in batch_patterns(self.bounds, held, capacity):
-            for i, k in pattern:
+        used, container = [0] * len(sizes), 0
+        for batch, times in batch_patterns(sizes, counts, self.bounds, capacity):
+            for i, k in batch:
                 segments.append((i + 1, used[i], container, k))
                 used[i] += k * times
             container += times
@@ -117,16 +129,16 @@ class Layout:
             container = max(container, 1)
         segments.sort()
         self.containers = container
-        self.first = np.cumsum([0, zero, *held])  # flat rank of each bucket's first item; bucket 0 holds the items of no size
+        self.first = np.cumsum([0, zero, *counts])  # flat rank of each size's first item; place 0 holds the items of no size
         self.start = np.array([self.first[b] + r for b, r, _, _ in segments], dtype=np.int64)
         self.base = np.array([c for _, _, c, _ in segments], dtype=np.int64)
         self.each = np.array([k for *_, k in segments], dtype=np.int64)
 
-    def bucket(self, size: np.ndarray) -> np.ndarray:
-        return np.where(size == 0, 0, np.searchsorted(self.bounds, size) + 1)
+    def place(self, size: np.ndarray) -> np.ndarray:
+        return np.where(size == 0, 0, np.searchsorted(self.sizes, size) + 1)
 
-    def container(self, bucket: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        flat = self.first[bucket] + rank
+    def container(self, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        flat = self.first[place] + rank
         at = np.searchsorted(self.start, flat, side="right") - 1
         return self.base[at] + (flat - self.start[at]) // self.each[at]
 
@@ -167,35 +179,26 @@ def fill_containers(sizes: DataFrame, id_column: str, size_column: str, budgets:
         most = max([most, *(n for _, n in h)])
     shared = spark.sparkContext.broadcast(layouts)  # some numbers for each size up to the capacity
 
-    def to_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            budget, size = (np.asarray(batch.column(i)) for i in (0, 3))
-            bucket = np.zeros(len(size), dtype=np.int64)
-            for b, layout in shared.value.items():
-                bucket[budget == b] = layout.bucket(size[budget == b])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket)], names=["budget_id", id_column, "piece", "size", "bucket"])
-
     kind = sizes.schema[id_column].dataType.simpleString()
-    head = f"budget_id long, `{id_column}` {kind}, piece long, size long, bucket long"
     salts = 1 + most // group_rows
-    group = ["budget_id", "bucket"] + ["salt"] * (salts > 1)
-    placed = items.mapInArrow(to_bucket, head)
+    group = ["budget_id", "size"] + ["salt"] * (salts > 1)
+    placed = items
     if salts > 1:
         placed = placed.withColumn("salt", F.pmod(F.xxhash64(id_column, "piece"), F.lit(salts)))
     ranked = placed.withColumn("rank", (F.row_number().over(Window.partitionBy(*group).orderBy(id_column, "piece")) - 1).cast("long"))
     if salts > 1:
-        before = Window.partitionBy("budget_id", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy("budget_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         starts = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
         ranked = ranked.join(starts, group).withColumn("rank", F.col("rank") + F.col("start"))
 
     def to_container(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            budget, bucket, rank = (np.asarray(batch.column(i)) for i in (0, 4, 5))
+            budget, size, rank = (np.asarray(batch.column(i)) for i in (0, 3, 4))
             container = np.zeros(len(rank), dtype=np.int64)
             for b, layout in shared.value.items():
                 at = budget == b
                 if at.any():
-                    container[at] = layout.container(bucket[at], rank[at])
+                    container[at] = layout.container(layout.place(size[at]), rank[at])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(container), batch.column(1), batch.column(2), batch.column(3)], names=["budget_id", "container_id", id_column, "piece", "n_tokens"])
 
-    return ranked.select("budget_id", id_column, "piece", "size", "bucket", "rank").mapInArrow(to_container, f"budget_id long, container_id long, `{id_column}` {kind}, piece long, n_tokens long")
+    return ranked.select("budget_id", id_column, "piece", "size", "rank").mapInArrow(to_container, f"budget_id long, container_id long, `{id_column}` {kind}, piece long, n_tokens long")

