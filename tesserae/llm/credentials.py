@@ -6,6 +6,7 @@ or call they belong to, comments and prose by their last words before a value. A
 own shape if that is unmistakable (issued prefixes, signed tokens, passwords inside URLs and connection
 strings, private keys), else by shape and name together. Spans are spliced in the original text, each
 by letters of the same length, so that quoting, line structure and every other byte stay as they were.
+Offsets count code points. Nothing is cut by length: values, names and texts are read to their ends.
 """
 
 from __future__ import annotations
@@ -90,10 +91,10 @@ _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _HASHED = re.compile(r"(?i)(?:sha\d{1,3}|md5|blake\w+)[-:=]")
 _PLACEHOLDER = re.compile(r"(?i)^<.*>?$|^\[.*\]$|\$\{|\$\(|^\$[A-Z_]|\{\{|%\(|^%\w+%$|^(?:vault|env|secret|secrets|ssm|op|arn|keyring|sops|aws-sm|gcp-sm|azure-kv|file|doppler)[:=]|process\.env|os\.environ|getenv|^(?:your|my|the|change|replace|insert|enter|example|sample|dummy|fake|test|todo|none|null|true|false|undefined|redacted)\b|change[-_]?me|placeholder|example$|^x{4,}$|^#|your[-_ ]")
 _MASKED = re.compile(r"[*•xX.#]{4,}|(.)\1{5,}")
-_RANDOM_SET = re.compile(r"[A-Za-z0-9+/_.=\-]{16,120}")
-_URL_PASSWORD = re.compile(r"[a-z][a-z0-9+.\-]{1,20}://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]{3,})@[^\s\"'`]")
+_RANDOM_SET = re.compile(r"[A-Za-z0-9+/_.=\-]{16,}")
+_URL_PASSWORD = re.compile(r"://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]{3,})@[^\s\"'`]")
 _PAIR_PASSWORD = re.compile(r"(?i)\b(?:pwd|password|accountkey|sharedaccesskey)\s*=\s*([^;\"'`\s]{4,})")
-_SCHEME = re.compile(r"(?i)\b(?:bearer|token|basic|apikey)\s+([A-Za-z0-9+/=_.@!#$%^&*\-]{6,})")
+_SCHEME = re.compile(r"(?i)\b(?:bearer|token|basic|apikey)\s+([^\s\"'`<>(){},;\\]{6,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 
@@ -127,6 +128,12 @@ def _random(v: str) -> bool:
     return len(max(re.findall("[a-z]+", v), key=len)) < 6
 
 
+def _restless(v: str) -> bool:
+    """Letters that change between cases and digits as often as drawn ones do."""
+    kinds = [2 if c.isdigit() else c.isupper() for c in v]
+    return len(v) >= 20 and 2 in kinds and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 0.45 * len(v)
+
+
 def _basic(v: str) -> bool:
     """Base64 of ``user:password``."""
     if len(v) < 12 or len(v) % 4 or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", v):
@@ -143,12 +150,12 @@ def unmistakable(v: str) -> bool:
     if m:
         return not placeholder(v)
     m = _PREFIXED.fullmatch(v)
-    return bool(m and _random(v) and len(re.findall(r"\d+", m[1])) > 1) or _basic(v)
+    return bool(m and (_random(v) and len(re.findall(r"\d+", m[1])) > 1 or _restless(m[1]))) or _basic(v)
 
 
 def password_like(v: str) -> bool:
     """What may be a password under a name that says so: one word that no language would spell."""
-    if not 5 < len(v) <= 200 or re.search(r"\s", v) or placeholder(v) or _UUID.fullmatch(v) or _HASHED.match(v):
+    if len(v) < 6 or re.search(r"\s", v) or placeholder(v) or _UUID.fullmatch(v) or _HASHED.match(v):
         return False
     if v.startswith(("./", "../", "/", "http:", "https:", "data:", "@/")) and not _random(v) and not re.fullmatch(r"/[A-Za-z0-9+/]{20,}=*", v):
         return False
@@ -159,13 +166,34 @@ def password_like(v: str) -> bool:
     return bool(re.search(r"\d", v) and re.search("[A-Za-z]", v) or re.search(r"[!@#$%^&*+=?]", v) and re.search("[A-Za-z]", v) or re.search("[a-z][A-Z]{2,}[a-z]", v) or len(v) >= 8 and len(re.findall("[A-Z]", v)) >= 0.28 * len(v) and re.search("[a-z]", v) and not v.isupper() and "_" not in v)
 
 
+_PHRASE = re.compile(r"[a-z0-9]+(?: [a-z0-9]+){2,}")
+# Words of texts about passwords, which no passphrase is.
+_TELLING = frozenset("a an and any are as at be by can change choose do enter for from here if in invalid is it many me must my new no not of on or our passphrase password please repeat required reset secret set short the this to token too type use used user was we with wrong you your".split())
+
+
+def passphrase_like(v: str) -> bool:
+    """Several plain words that make no sentence."""
+    return bool(_PHRASE.fullmatch(v)) and not _TELLING.intersection(v.split())
+
+
+#: Names of things that hold nothing but credentials, whatever their keys.
+HOLDERS = {"credentials", "creds", "secrets", "passwords", "tokens", "passwd", "apikeys"}
+
+
 def is_credential(entry: Entry) -> bool:
     v = entry.value
     name = entry.path[-1] if entry.path else ""
     said = judge_name(name)
     if said == 0 and len(entry.path) > 1 and (name.isdigit() or name.lower() in ("value", "default", "data", "current", "main", "primary", "v")):
         said = judge_name(entry.path[-2])
-    if _UUID.fullmatch(v) or placeholder(v) or _HASHED.match(v):
+    if said == 0 and entry.context == "config" and HOLDERS.intersection(w for p in entry.path[:-1] for w in ("".join(name_words(p)), *name_words(p)[-1:])):
+        # Under a holder of credentials any key may hold one, if the value looks it.
+        said = 1 if len(v) >= 8 and re.search(r"\d", v) and re.search("[A-Za-z]", v) else 0
+    if said > 0 and " " in v:
+        return "passphrase" in name.lower() and passphrase_like(v)
+    if said > 0 and _UUID.fullmatch(v):
+        return name_words(name)[-2:] == ["api", "key"] or name_words(name)[-1:] in (["apikey"], ["secret"], ["password"])
+    if said == 0 and entry.context != "call" and len(v) < 12 or _UUID.fullmatch(v) or placeholder(v) or _HASHED.match(v):
         return False
     if unmistakable(v):
         return not (said < 0 and not _ISSUED.fullmatch(v))
@@ -178,9 +206,15 @@ def is_credential(entry: Entry) -> bool:
 
 # --- from texts to entries ----------------------------------------------------------------------
 
-_STRING = re.compile(r"""(?P<q>["'`])(?P<v>(?=[^"'`\s]*[0-9+/=!@#$%^&*A-Z])[^"'`\s\\]{3,600})(?P=q)""")
-_JOIN = re.compile(r"""\s*(?:\+|\\\n|,|\.\.|)\s*(?P<q>["'`])(?P<v>[^"'`\s\\]{1,400})(?P=q)""")
-_NAME_BEFORE = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[\w.\-/ ]{1,80})(?P=q)|(?P<bare>[A-Za-z_$][\w$.\-]*))\s*(?:\]\s*)?\??(?::\s*[&'\w<>\[\]| .]+?)?\s*(?::=|=>|=|:)\s*(?:[rbfu]{0,2})(?:String::from|concat!|str|bytes|b|new\s+\w+|\w+\.from)?\s*\(?\s*$""")
+_STRING = re.compile(r"""(?P<q>["'`])(?P<v>(?=[^"'`\s]*[0-9+/=!@#$%^&*A-Z])[^"'`\s\\]{3,})(?P=q)""")
+_ESCAPED = re.compile(r"""(?P<q>["'])(?P<v>(?:[^"'`\s\\]|\\[^\s\\nrt])*\\["'\\](?:[^"'`\s\\]|\\[^\s\\nrt])*)(?P=q)""")
+_QUOTED_PHRASE = re.compile(r"""(?P<k>[\w.\-]*(?:pass_?phrase|PASS_?PHRASE|[Pp]ass[Pp]hrase))["']?(?:\s*:\s*(?:&?(?:'static )?str|[sS]tring))?\s*(?::=|=>|=|:)\s*(?P<q>["'`])(?P<v>[a-z0-9]+(?: [a-z0-9]+){2,})(?P=q)""")
+_ELEMENT = re.compile(r"<(?P<k>[A-Za-z_][\w.\-:]*)(?:\s[^<>]*)?>\s*(?P<v>[^<>\s]+)\s*</(?P=k)\s*>")
+_NAMED_VALUE = re.compile(r"""\b(?:key|name)\s*=\s*(?P<q>["'])(?P<k>[\w.\-:]+)(?P=q)\s+value\s*=\s*(?P<r>["'])(?P<v>[^"'\s]+)(?P=r)""")
+_PROPERTY = re.compile(r"<key>\s*(?P<k>[\w.\-]+)\s*</key>\s*<string>\s*(?P<v>[^<>\s]+)\s*</string>")
+_JOIN = re.compile(r"""\s*(?:\+|\\\n|,|\.\.|)\s*(?P<q>["'`])(?P<v>[^"'`\s\\]+)(?P=q)""")
+_NAME_BEFORE = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[\w.\-/ ]+)(?P=q)|(?P<bare>[A-Za-z_$][\w$.\-]*))\s*(?:\]\s*)?\??(?::\s*[&'\w<>\[\]| .]+?)?\s*(?::=|=>|=|:)\s*(?:[rbfu]{0,2})(?:String::from|concat!|str|bytes|b|new\s+\w+|\w+\.from)?\s*\(?\s*$""")
+_NAMING = frozenset("=:>(rbfumst")
 _CALL_BEFORE = re.compile(r"""\b(?P<call>[A-Za-z_]\w*)\(\s*(?:(?P<q>["'`])(?P<arg>[^"'`]*)(?P=q)\s*,\s*)?$""")
 _AUTH_CALL = re.compile(r"(?i)auth|login|connect|header|credential|password|passwd|secret|token|api_?key|sign_?in|set_?pass|with_?key")
 _CONFIG_LINE = re.compile(r"(?m)^(?P<indent>[ \t]*)(?:-[ \t]+)?(?:export[ \t]+)?(?P<k>[\"']?[\w.\-/]+[\"']?)[ \t]*(?P<sep>[:=])[ \t]*(?P<v>[^\n\r]*)")
@@ -191,12 +225,14 @@ _FLOW_PARTS = r"""(?P<open>[{\[])|(?P<mark>[}\],])|(?P<sep>%s)|(?P<q>["'])(?P<s>
 _FLOW = re.compile(_FLOW_PARTS % (":", r"""(?:[^\s{}\[\],:"'#]|:(?=[^\s,}\]]))(?:[^\s{}\[\],:]|:(?=[^\s,}\]])|[ \t]+(?=[^\s{}\[\],:#]))*"""))
 _FLOW_TABLE = re.compile(_FLOW_PARTS % ("=", r"""[^\s{}\[\],="'#]+"""))
 _BARE_ISSUED = re.compile(rf"(?<![\w\-])(?:{_ISSUED.pattern})(?![\w\-])")
+_OPENED = re.compile(r"[{\[]")
+_TYPED = re.compile(r"[&'\w<>\[\]| .:=()?!\t]*")
 _SECTION = re.compile(r"(?m)^[ \t]*\[+([^\]\n]+)\]+")
 _PROSE = re.compile(r"(?m)^[ \t]*(?://+|#+|--|;+|\*+|<!--|/\*+|\"\"\"|''')[^\n]*")
-_COMMENT_PAIR = re.compile(r"([A-Za-z][\w .\-]*?)\s*(?::|=|\bis\b)\s*(\S{6,})")
+_COMMENT_PAIR = re.compile(r"(?::|=|\bis\b)\s*(\S{6,})")
 _TOKEN = re.compile(r"[^\s\"'`<>()\[\]{},;|]{6,}")
 _BARE_PAIR = re.compile(r"(?im)^[ \t]*(?:export[ \t]+)?(?P<k>[\w.\-]*(?:pass|pwd|secret|token|key|cred|auth)[\w.\-]*)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`(){}<>;,]{8,})[ \t\r]*$")
-_USE_AS = re.compile(r"(?i)\b(?:use|set|enter|with|is|log ?in with)\s+`?(?P<v>[^\s`]{6,})`?\s+(?:as|for)\s+(?:the\s+|a\s+|an\s+)?(?P<n>[\w \-]{2,60})")
+_USE_AS = re.compile(r"(?i)\b(?:use|set|enter|with|is|log ?in with)\s+`?(?P<v>[^\s`]{6,})`?\s+(?:as|for)\s+(?:the\s+|a\s+|an\s+)?(?P<n>[\w \-]{2,})")
 
 CONFIG = {"env", "ini", "yml", "yaml", "toml", "cfg", "conf", "properties", "json"}
 PROSE = {"md", "txt", "rst"}
@@ -247,10 +283,10 @@ def _flow_entries(text: str, at: int, path: tuple[str, ...], equals: bool = Fals
     return len(text)
 
 
-def _lines_entries(lines: list[tuple[int, str]], path: tuple[str, ...]) -> Iterator[Entry]:
-    """A value over several lines: wrapped letters as one, else each line that is one word."""
+def _lines_entries(lines: list[tuple[int, str]], path: tuple[str, ...], joined: bool = False) -> Iterator[Entry]:
+    """A value over several lines: joined or wrapped letters as one, else each line that is one word."""
     words = [(at + len(x) - len(x.lstrip()), x.strip()) for at, x in lines if x.strip()]
-    if len(words) > 1 and len(words[0][1]) >= 16 and all(" " not in w and len(w) == len(words[0][1]) for _, w in words[:-1]) and " " not in words[-1][1] and len(words[-1][1]) <= len(words[0][1]):
+    if len(words) > 1 and joined and all(" " not in w for _, w in words) or len(words) > 1 and len(words[0][1]) >= 16 and all(" " not in w and len(w) == len(words[0][1]) for _, w in words[:-1]) and " " not in words[-1][1] and len(words[-1][1]) <= len(words[0][1]):
         yield Entry(path, "".join(w for _, w in words), tuple((at, at + len(w)) for at, w in words), "config")
     else:
         for at, w in words:
@@ -269,6 +305,19 @@ def _block(text: str, at: int, depth: int) -> Iterator[tuple[int, str]]:
         at = end + 1
 
 
+def _continued(text: str, at: int) -> list[tuple[int, str]]:
+    """Offset and text of the lines from ``at`` on that a backslash at each one's end joins."""
+    lines = []
+    while at < len(text):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)].rstrip()
+        lines.append((at, line.removesuffix("\\")))
+        if not line.endswith("\\") or end < 0:
+            break
+        at = end + 1
+    return lines
+
+
 def _config_entries(text: str, kind: str) -> Iterator[Entry]:
     """Scalars of line-oriented formats, with their sections or parents as key path."""
     yaml = kind in ("yml", "yaml")
@@ -309,13 +358,21 @@ def _config_entries(text: str, kind: str) -> Iterator[Entry]:
         if value[:1] in ("'", '"'):
             end = value.find(value[0], 1)
             if end < 0:
+                stop, lines, at = text.find(value[0], start + 1), [], start + 1
+                for line in text[at : stop if yaml and stop >= 0 else at].split("\n"):
+                    lines.append((at, line.removesuffix("\\")))
+                    at += len(line) + 1
+                yield from _lines_entries(lines, path, joined=value.endswith("\\"))
                 continue
             value, start = value[1:end], start + 1
         else:
+            if value.endswith("\\") and not yaml and kind != "toml":
+                yield from _lines_entries(_continued(text, start), path, joined=True)
+                continue
             value = re.split(r"\s+[#;]", value, maxsplit=1)[0].rstrip().rstrip(",")
             if value[:1] in ("|", ">", "&", "[", "{"):
                 continue
-        if value and " " not in value:
+        if value and (" " not in value or "phrase" in key.lower()):
             yield Entry(path, value, ((start, start + len(value)),), "config")
 
 
@@ -333,8 +390,11 @@ def _string_entries(text: str) -> Iterator[Entry]:
         if not before.strip():
             up = text.rfind("\n", 0, max(0, line - 1)) + 1
             before = text[max(up, line - 160) : m.start()]
-        name = _NAME_BEFORE.search(before)
-        call = None if name else _CALL_BEFORE.search(before)
+        last = before.rstrip()[-1:]
+        if last in ("=", ":", ">") and m.start() - 160 > line and _TYPED.fullmatch(before):
+            before = text[line : m.start()]  # a type or blanks longer than the window
+        name = _NAME_BEFORE.search(before) if last in _NAMING else None
+        call = None if name or last not in ("(", ",") else _CALL_BEFORE.search(before)
         if name:
             opened = before.rstrip().endswith("(")
             while True:
@@ -349,19 +409,24 @@ def _string_entries(text: str) -> Iterator[Entry]:
             yield Entry((name["quoted"] or name["bare"].rsplit(".", 1)[-1],), value, tuple(pieces), "code")
         elif call and _AUTH_CALL.search(call["call"]):
             yield Entry((call["arg"] or call["call"],), value, tuple(pieces), "call")
-        else:
+        elif len(value) >= 12:
             yield Entry((), value, tuple(pieces), "code")
 
 
 def _prose_entries(text: str, start: int) -> Iterator[Entry]:
     """``words: value`` and ``use value as words`` in one line of prose, and bare tokens by their shape."""
+    done = 0
     for m in _COMMENT_PAIR.finditer(text):
-        words = m[1].strip().split()
-        value = m[2].rstrip(".,;`\"')")
-        if words and value:
-            s = start + m.start(2)
-            near = " ".join(words[-3:])
-            yield Entry((near,), value, ((s, s + len(value)),), "prose")
+        at = m.start()
+        while at > done and (text[at - 1].isalnum() or text[at - 1] in "_ .-\t"):
+            at -= 1
+        words = text[at : m.start()].lstrip("0123456789_ .-\t").split()
+        value = m[1].rstrip(".,;`\"')")
+        if words:
+            done = m.end()
+            if value:
+                s = start + m.start(1)
+                yield Entry((" ".join(words[-3:]),), value, ((s, s + len(value)),), "prose")
     for m in _USE_AS.finditer(text):
         s = start + m.start("v")
         if _SENSITIVE_TEXT.search(m["n"]):
@@ -386,22 +451,23 @@ def find(text: str, kind: str) -> list[tuple[int, list[tuple[int, int]]]]:
     if "PRIVATE KEY" in text:
         for m in _PEM.finditer(text):
             end = _PEM_END.search(text, m.end())
-            stop = end.start() if end else max(min(len(text), m.end() + 4000), _key_body_end(text, m.end()))
+            stop = end.start() if end else _key_body_end(text, m.end())
             body = text[m.end() : stop]
             if len(re.findall(r"[A-Za-z0-9+/]", body)) >= 40 and not placeholder(body.strip()[:12] or "xxxx"):
                 # everything but line structure, indentation and what encloses each line
                 found[m.start()] = [(m.end() + x.start(), m.end() + x.end()) for x in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{3,}", body)]
                 keys.append((m.start(), stop))
+    lower = text.lower()
     if "://" in text:
         for m in _URL_PASSWORD.finditer(text):
-            if not placeholder(m[1]) and not re.fullmatch(r"(?i)pass(?:word|wd)?|pwd|secret|token|user|\d{1,5}", m[1]) and not re.search(r"\$\{|\{|<|%s", m[1]):
+            if text[m.start() - 1 : m.start()].isalnum() and not placeholder(m[1]) and not re.fullmatch(r"(?i)pass(?:word|wd)?|pwd|secret|token|user|\d{1,5}", m[1]) and not re.search(r"\$\{|\{|<|%s", m[1]):
                 found[m.start(1)] = [m.span(1)]
-    if "=" in text:
+    if ";" in text and any(w in lower for w in ("pwd", "password", "accountkey", "sharedaccesskey")):
         for m in _PAIR_PASSWORD.finditer(text):
-            if password_like(m[1]) and ";" in text[max(0, m.start() - 200) : m.start()] and (unmistakable(m[1]) or re.search(r"\d|[!@#$%^&*]", m[1])):
+            if (unmistakable(m[1]) or password_like(m[1])) and text.rfind(";", text.rfind("\n", 0, m.start()) + 1, m.start()) >= 0:
                 found[m.start(1)] = [m.span(1)]
-    for pattern in (_SCHEME, _HEADER):
-        for m in pattern.finditer(text):
+    for pattern, words in ((_SCHEME, ("bearer", "token", "basic", "apikey")), (_HEADER, ("x-", "authorization", "apikey", "api-key"))):
+        for m in pattern.finditer(text) if any(w in lower for w in words) else ():
             v = m[1].rstrip(".")
             if text[m.start() - 1 : m.start()] in ('"', "'", "`", " ", ":", "") and not placeholder(v) and (unmistakable(v) or _random(v) or _HEX.fullmatch(v) or pattern is _HEADER and password_like(v) or text[m.start() - 1 : m.start()] in ('"', "'", "`") and text[m.end() : m.end() + 1] in ('"', "'", "`") and password_like(v)):
                 found[m.start(1)] = [(m.start(1), m.start(1) + len(v))]
@@ -417,14 +483,27 @@ def find(text: str, kind: str) -> list[tuple[int, list[tuple[int, int]]]]:
             if kind in CONFIG and kind != "json":
                 yield from _config_entries(text, kind)
             else:
-                for m in _BARE_PAIR.finditer(text):
+                for m in _BARE_PAIR.finditer(text) if any(w in lower for w in ("pass", "pwd", "secret", "token", "key", "cred", "auth")) else ():
                     yield Entry((m["k"],), m["v"], (m.span("v"),), "config")
-                if kind == "json" and (opened := re.search(r"[{\[]", text)):
-                    yield from _flow_entries(text, opened.start(), ())
+                at = 0
+                while kind == "json" and (opened := _OPENED.search(text, at)):
+                    at = max(opened.end(), (yield from _flow_entries(text, opened.start(), ())))
             if kind in CONFIG:
                 for m in _BARE_ISSUED.finditer(text):
                     yield Entry((), m[0], (m.span(),), "config")
             yield from _string_entries(text)
+            if "\\" in text:
+                for m in _ESCAPED.finditer(text):
+                    before = text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 160) : m.start()]
+                    if before.rstrip()[-1:] in _NAMING and (name := _NAME_BEFORE.search(before)):
+                        yield Entry((name["quoted"] or name["bare"].rsplit(".", 1)[-1],), m["v"], (m.span("v"),), "code")
+            if "phrase" in lower:
+                for m in _QUOTED_PHRASE.finditer(text):
+                    yield Entry((m["k"],), m["v"], (m.span("v"),), "code")
+            if "</" in text or "/>" in text:
+                for pattern in (_ELEMENT, _NAMED_VALUE, _PROPERTY):
+                    for m in pattern.finditer(text):
+                        yield Entry((m["k"],), m["v"], (m.span("v"),), "config")
             for m in _PROSE.finditer(text):
                 yield from _prose_entries(m[0], m.start())
 
@@ -432,7 +511,7 @@ def find(text: str, kind: str) -> list[tuple[int, list[tuple[int, int]]]]:
         start = e.pieces[0][0]
         if start in found or "-----BEGIN" in e.value or any(a <= start < b for a, b in keys):
             continue
-        if "://" in e.value and _URL_PASSWORD.match(e.value):
+        if "://" in e.value and _URL_PASSWORD.search(e.value):
             continue
         if e.context == "prose" and e.path:
             name = e.path[-1]

@@ -103,3 +103,56 @@ def test_tables(spark):
     assert len(out) == 5 and all(TOKEN not in str(r) for r in out)
     assert credential_lines(df.limit(0), "id", "path", {"new": "n"}).count() == 0
     assert extension("x/.env.unit") == "env"
+
+
+LONG = "aB3!xY9_" * 32
+SIGNED = "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiJ" + "aB3dE5fG7h" * 70 + ".sIgNaTuRe12345"
+V = "Tr0ub4dor!x9"
+STRUCTURED = [
+    ("yml", f"db:\n  password: |\n    {V}\n", V),
+    ("yml", f"db: {{user: a, password: {V}}}\n", V),
+    ("yml", f'password: "{V[:6]}\\\n  {V[6:]}"\n', V[:6]),
+    ("properties", f"db.password={V[:5]}\\\n    {V[5:]}\n", V[:5]),
+    ("json", f'{{"password": {{"value": "{V}"}}}}', V),
+    ("json", f'{{"credentials": {{"prod": "{V}"}}}}', V),
+    ("json", f'{{"a": 1}}\n{{"password": "{V}"}}\n', V),
+    ("json", '{"password": "ab\\"cd12!x"}', "ab"),
+    ("json", '{"api_key": "3f2b8c1e-9a4d-4e6f-8b7a-1c2d3e4f5a6b"}', "3f2b"),
+    ("ts", 'const password = "ab\\"cd12!x";', "ab"),
+    ("ts", f"export const password: {'Map<string | string> | ' * 20}string = '{V}';", V),
+    ("py", "password" + " " * 300 + f"= '{V}'", V),
+    ("py", 'PASSPHRASE = "correct horse battery staple"', "correct"),
+    ("yml", "passphrase: correct horse battery staple", "correct"),
+    ("xml", f"<password>{V}</password>", V),
+    ("config", f'<add key="ApiKey" value="{V}"/>', V),
+    ("plist", f"<key>password</key>\n<string>{V}</string>", V),
+    ("py", f'password = "{LONG}"', LONG),
+    ("ts", f'const t = "{SIGNED}";', SIGNED),
+    ("rs", f'const C: &str = "Server=a.example;{"Option=x" * 60};Pwd={SIGNED};Timeout=8";', SIGNED),
+    ("ts", 'a.connect("Authorization", "Basic TidyWheel2547?");', "Tidy"),
+]
+NOT_THESE = [
+    ("json", '{"password_hint": "Abcd1234!", "request_id": "3f2b8c1e-9a4d-4e6f-8b7a-1c2d3e4f5a6b", "token_id": "3f2b8c1e-9a4d-4e6f-8b7a-1c2d3e4f5a6b"}'),
+    ("py", 'PASSPHRASE = "please enter your passphrase here"'),
+    ("xml", "<password>********</password><token>${TOKEN}</token>"),
+    ("json", '{"credentials": {"type": "oauth2", "scope": "read"}}'),
+]
+
+
+@pytest.mark.parametrize(("kind", "text", "begins"), STRUCTURED)
+def test_formats_and_lengths(kind, text, begins):
+    assert [text[p:].startswith(begins) for p, _ in find(text, kind)] == [True]
+    assert begins not in redact(text, kind)
+
+
+@pytest.mark.parametrize(("kind", "text"), NOT_THESE)
+def test_no_cases(kind, text):
+    assert find(text, kind) == [] and redact(text, kind) == text
+
+
+def test_key_without_end_is_blanked_as_far_as_it_goes():
+    body = "\n".join("MIIEow" + "aB3dE5fG7hI9" * 4 + "x" * 10 for _ in range(150))
+    text = f'K = """-----BEGIN RSA PRIVATE KEY-----\n{body}\n\ndef function_name(argument_one):\n    return argument_one\n'
+    done = redact(text, "py")
+    assert "aB3dE" not in done and len(done) == len(text)
+    assert done.endswith("\n\ndef function_name(argument_one):\n    return argument_one\n")
