@@ -81,17 +81,16 @@ def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     return placed.groupBy("workspace_path", "language_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("invalid").alias("n_invalid"), F.round(F.avg("invalid"), 6).alias("invalid_rate"))
 
 
-def _attribute_files(spark: SparkSession, root: str) -> DataFrame:
-    """``id, folder, text``: the attribute files of each file change's workspace."""
-    workspaces = _workspaces(spark, root)
-    held = table(spark, root, "file_changes").where("path like '%.gitattributes' and new_content is not null").select("id", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.col("new_content").alias("text"), "modified_at", "path").where("path = '.gitattributes' or path like '%/.gitattributes'")
-    # The latest version of each attribute file; a repository has a handful of them.
-    latest = held.join(workspaces, "id").groupBy("workspace_path", "folder").agg(F.max_by("text", F.struct("modified_at", "id")).alias("text"))
-    return workspaces.join(latest, "workspace_path").select("id", "folder", "text")
+def _attribute_files(spark: SparkSession, root: str, workspaces: DataFrame) -> DataFrame:
+    """``workspace, folder, text``: the latest version of each attribute file of a known workspace."""
+    held = table(spark, root, "file_changes").where("path like '%.gitattributes' and new_content is not null").where("path = '.gitattributes' or path like '%/.gitattributes'")
+    held = held.select("id", F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"), F.col("new_content").alias("text"), "modified_at")
+    return held.join(workspaces, "id").groupBy("workspace", "folder").agg(F.max_by("text", F.struct("modified_at", "id", "text")).alias("text"))
 
 
 def _not_handwritten(spark: SparkSession, root: str) -> DataFrame:
-    return not_handwritten(table(spark, root, "file_changes"), "id", "path", "new_content", _attribute_files(spark, root))
+    workspaces = _workspaces(spark, root).withColumnRenamed("workspace_path", "workspace")
+    return not_handwritten(table(spark, root, "file_changes"), "id", "path", "new_content", workspaces, _attribute_files(spark, root, workspaces))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
