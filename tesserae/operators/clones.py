@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def line_windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``key, line_no, h``: hash of every run of ``n`` normalised lines (trimmed, without blank and comment lines)."""
+def window_hashes(text: str, n: int) -> Column:
+    """Hashes of every run of ``n`` normalised lines (trimmed, without blank and comment lines), in order; null where there is none."""
     kept = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("#"))
-    lines = df.select(key, kept.alias("_l")).where(F.size("_l") >= n)
-    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_l") - (n - 1)), lambda i: F.sha2(F.array_join(F.slice("_l", i, F.lit(n)), "\n"), 256)))
-    return lines.select(key, each.alias("line_no", "h"))
+    runs = F.transform(F.sequence(F.lit(1), F.size(kept) - (n - 1)), lambda i: F.sha2(F.array_join(F.slice(kept, i, F.lit(n)), "\n"), 256))
+    return F.when(F.size(kept) >= n, runs)
+
+
+def line_windows(df: DataFrame, key: str, hashes: str) -> DataFrame:
+    """``key, line_no, h``: one row per run of lines."""
+    return df.select(key, F.posexplode(hashes).alias("line_no", "h"))
 
 
 def exact_clones(windows: DataFrame, key: str) -> DataFrame:

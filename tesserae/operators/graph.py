@@ -34,18 +34,21 @@ def statistics(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return n.join(F.broadcast(m)).select("n_nodes", "n_edges", F.round(F.coalesce(F.try_divide("n_edges", "n_nodes"), F.lit(0.0)), 6).alias("mean_degree"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_depth: int) -> DataFrame:
-    """``start, node, depth``: all nodes within ``max_depth`` edges of each start, itself included, by least depth."""
+def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_depth: int | None = None) -> DataFrame:
+    """``start, node, depth``: all nodes within ``max_depth`` edges of each start, itself included, by least depth; without a limit all there are."""
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
     frontier = starts.toDF("start").where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     seen = materialize(frontier)
-    frontier = seen
-    for depth in range(1, max_depth + 1):
+    frontier, depth = seen, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(e, frontier.node == e._s).select("start", F.col("_d").alias("node")).distinct()
         frontier = materialize(step.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 8 == 0:
+            seen = materialize(seen)
     return seen
 
 

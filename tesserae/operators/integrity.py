@@ -4,7 +4,9 @@ Parent and child keys of all references are put into one long table tagged by pa
 is grouped once by (parent table, key). Before that shuffle the children are folded to one row per
 (parent table, key, referring record), and the group itself is a plain min/max aggregation with a
 map-side combine, so a key held by a third of all rows costs no more than any other. Only the keys
-that turn out bad (no live parent, or a parent that arrived after some child) are joined back.
+that turn out bad (no live parent, or a parent that arrived after some child) are joined back: those that
+more children name than ``HOT_CHILDREN`` by a broadcast, as there can be no more of them than one in so
+many rows, so that no task gets all children of a hot key; the rest by a shuffle on the key.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.runtime import materialize
+
+
+HOT_CHILDREN = 1_000_000
+
 
 @dataclass(frozen=True)
 class Reference:
@@ -71,7 +78,7 @@ def _parents(ref: Reference) -> DataFrame:
     ).where("key is not null")
 
 
-def orphans(references: list[Reference]) -> DataFrame:
+def orphans(references: list[Reference], *, hot_children: int = HOT_CHILDREN) -> DataFrame:
     """Rows ``ref_table, record_id, key, at, reason``, one per record and key; reason is ``missing``, ``deleted`` or ``late``.
 
     Null and blank references are no cases. A null arrival of either side proves no lateness. A target
@@ -91,14 +98,21 @@ def orphans(references: list[Reference]) -> DataFrame:
     children = kids[0]
     for c in kids[1:]:
         children = children.unionByName(c)
-    bad = (
+    bad = materialize(
         long.groupBy("ref_table", "key")
-        .agg(F.max("is_parent").alias("has_parent"), F.max("is_deleted").alias("is_deleted"), F.min("parent_first").alias("parent_first"), F.min("child_first").alias("child_first"))
+        .agg(F.sum(F.when(F.col("is_parent"), 0).otherwise(1)).alias("n_children"), F.max("is_parent").alias("has_parent"), F.max("is_deleted").alias("is_deleted"), F.min("parent_first").alias("parent_first"), F.min("child_first").alias("child_first"))
         .where("not has_parent or is_deleted or parent_first > child_first")
         .drop("child_first")
     )
-    reason = F.when(~F.col("has_parent"), "missing").when(F.col("is_deleted"), "deleted").when(F.col("parent_first") > F.col("arrived"), "late")
-    return children.join(bad, ["ref_table", "key"]).withColumn("reason", reason).where("reason is not null").select("ref_table", "record_id", "key", "at", "reason")
+    verdict = F.struct("has_parent", "is_deleted", "parent_first")
+    hot = bad.where(F.col("n_children") > hot_children).select("ref_table", "key", verdict.alias("_hot"))
+    cold = bad.where(F.col("n_children") <= hot_children).select("ref_table", F.col("key").alias("_key"), verdict.alias("_cold"))
+    met = children.join(F.broadcast(hot), ["ref_table", "key"], "left")
+    # Children of hot keys are done and spread by their own id.
+    met = met.withColumn("_key", F.when(F.col("_hot").isNull(), F.col("key")).otherwise(F.concat(F.lit("\0"), F.col("record_id"))))
+    both = met.join(cold, ["ref_table", "_key"], "left").withColumn("v", F.coalesce("_hot", "_cold")).where("v is not null")
+    reason = F.when(~F.col("v.has_parent"), "missing").when(F.col("v.is_deleted"), "deleted").when(F.col("v.parent_first") > F.col("arrived"), "late")
+    return both.withColumn("reason", reason).where("reason is not null").select("ref_table", "record_id", "key", "at", "reason")
 
 
 def orphan_report(cases: DataFrame, period: str = "month") -> DataFrame:

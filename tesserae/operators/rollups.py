@@ -28,9 +28,9 @@ def peakiness(df: DataFrame, bucket: str) -> DataFrame:
     return n.agg(F.when(F.max("n").isNull(), 0.0).otherwise(F.round(F.least(F.lit(0.9), F.max("n") / F.avg("n") / 10), 6)).alias("peakiness"))
 
 
-def content_sharing(df: DataFrame, content: str) -> DataFrame:
-    """What storing equal contents once saves: rows, different contents, bytes of both and their ratio. Null contents store nothing."""
-    each = df.where(F.col(content).isNotNull()).groupBy(F.sha2(content, 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(content)).cast("long").alias("size"))
+def content_sharing(df: DataFrame, digest: str, size: str) -> DataFrame:
+    """What storing equal contents once saves: rows, different contents, bytes of both and their ratio. Null digests store nothing."""
+    each = df.where(F.col(digest).isNotNull()).groupBy(F.col(digest).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("size"))
     total, unique = F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_contents"), total.alias("total_bytes"), unique.alias("unique_bytes"), (total - unique).alias("saved_bytes"), F.round(F.coalesce(F.try_divide(unique, total), F.lit(1.0)), 6).alias("ratio"))
 

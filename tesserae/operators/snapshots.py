@@ -43,20 +43,20 @@ def three_way_merge(base: DataFrame, source: DataFrame, target: DataFrame, keys:
     return j.select(*keys, outcome.alias("outcome"), value.alias("digest"))
 
 
-def chains(nodes: DataFrame, node: str, parent: str, is_end: str, max_depth: int = 12) -> DataFrame:
+def chains(nodes: DataFrame, node: str, parent: str, is_end: str) -> DataFrame:
     """``node, ancestor, depth``: each node with itself and its parents up to and with the first that ends a chain.
 
-    Each step joins the open ends with their parents, all chains at once; a chain stops at an end, at an
-    unknown parent or after ``max_depth`` steps, so cycles end too.
+    A chain stops at an end or at an unknown parent, however long it is. Ways of up to 2**k steps are joined with
+    ascents of 2**k steps, so the number of rounds grows with the logarithm of the longest chain; a cycle is an error.
     """
-    n = materialize(nodes.select(F.col(node).alias("ancestor"), F.col(parent).alias("_up"), F.coalesce(F.col(is_end), F.lit(False)).alias("_end")).where("ancestor is not null"))
-    open_ends = n.select(F.col("ancestor").alias("node"), "ancestor", F.lit(0).alias("depth"), "_up", "_end")
-    out = open_ends
-    for depth in range(1, max_depth + 1):
-        nxt = open_ends.where("not _end and _up is not null").select("node", F.col("_up").alias("ancestor")).join(n, "ancestor").select("node", "ancestor", F.lit(depth).alias("depth"), "_up", "_end")
-        open_ends = materialize(nxt) if depth % 4 == 0 else nxt
-        out = out.unionByName(open_ends)
-    return out.select("node", "ancestor", "depth")
+    n = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.coalesce(F.col(is_end), F.lit(False)).alias("end")).where("node is not null")
+    known = n.select(F.col("node").alias("_k"))
+    steps = ascents(n.where("not end").join(known, F.col("up") == F.col("_k"), "left_semi"), "node", "up")
+    out = n.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
+    for k, step in enumerate(steps):
+        far = step.withColumnRenamed("node", "_n").join(out, F.col("up") == F.col("node")).select(F.col("_n").alias("node"), "ancestor", (F.col("depth") + 2**k).alias("depth"))
+        out = materialize(out.unionByName(far))
+    return out
 
 
 def replay(chain: DataFrame, changes: DataFrame, change_node: str, path: str, order: list[str], value: list[str], deleted: Column) -> DataFrame:

@@ -30,18 +30,20 @@ def _named(kind: str, names: Column) -> Column:
     return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
 
 
-def symbols(df: DataFrame, key: str, path: str, text: str) -> DataFrame:
-    """``key, path, kind, name``: one row per symbol and appearance; files of other languages, null paths and null texts have none."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return df.where(F.col(path).isNotNull() & F.col(text).isNotNull() & ext.isin(*PATTERNS)).select(key, path, F.explode(_found(ext, F.col(text))).alias("s")).select(key, path, "s.kind", "s.name")
-
-
-def symbol_changes(df: DataFrame, key: str, path: str, before: str, after: str) -> DataFrame:
-    """``key, kind, name, change``: symbols added or removed between two texts of a row."""
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    both = df.where(F.col(before).isNotNull() & F.col(after).isNotNull() & ext.isin(*PATTERNS)).select(key, _found(ext, F.col(before)).alias("b"), _found(ext, F.col(after)).alias("a"))
-    side = lambda x, y, name: both.select(key, F.explode(F.array_except(x, y)).alias("s"), F.lit(name).alias("change"))
-    return side("a", "b", "added").unionByName(side("b", "a", "removed")).select(key, "s.kind", "s.name", "change")
+def extension(path: str = "path") -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
+def found(path: str, text: str) -> Column:
+    """All symbols of a text as an array of (kind, name); null for files of other languages and null texts."""
+    return F.when(F.col(text).isNotNull() & extension(path).isin(*PATTERNS), _found(extension(path), F.col(text)))
+
+
+def difference(path: str, before: str, after: str) -> Column:
+    """Symbols added or removed between two texts, as an array of (kind, name, change)."""
+    b, a = found(path, before), found(path, after)
+    mark = lambda x, change: F.transform(x, lambda s: F.struct(s["kind"].alias("kind"), s["name"].alias("name"), F.lit(change).alias("change")))
+    return F.concat(mark(F.array_except(a, b), "added"), mark(F.array_except(b, a), "removed"))
 
 
 def table_statistics(found: DataFrame, key: str) -> DataFrame:

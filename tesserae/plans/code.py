@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import symbols
-from tesserae.operators.latest import latest_per_key
-from tesserae.plans.metrics import _FC
+from tesserae.plans.metrics import _FC, contents_once
 from tesserae.plans.registry import Registry
 from tesserae.sources.tables import table
 
@@ -14,10 +13,6 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def _contents(spark, root):
-    return latest_per_key(table(spark, root, "file_changes"), ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["path", "original_content", "new_content"])
-
-
 def _list(column: str) -> str:
     parts = [f"when ext = '{e}' then list_concat(" + ", ".join(f"list_transform(regexp_extract_all({column}, '{p.replace(chr(39), chr(39) * 2)}', 1), lambda n: {{'kind': '{k}', 'name': n}})" for k, p in ps) + ")" for e, ps in symbols.PATTERNS.items()]
     return "case " + " ".join(parts) + " end"
@@ -27,7 +22,8 @@ _X = f"{_FC}, x as (select *, lower(regexp_extract(path, '\\.([^./]+)$', 1)) ext
 
 
 def _symbols(spark, root):
-    return symbols.symbols(_contents(spark, root), "id", "path", "new_content")
+    found = contents_once(spark, root, path=F.col("path"), found=symbols.found("path", "new_content"))
+    return found.select("id", "path", F.explode("found").alias("s")).select("id", "path", "s.kind", "s.name")
 
 
 @query(f"with {_X} select kind, count(*) n, count(distinct id) n_files, (select count(*) from (select name from sy s2 where s2.kind = sy.kind group by name)) n_names, (select count(*) from (select name from sy s2 where s2.kind = sy.kind group by name having count(distinct id) > 1)) n_ambiguous from sy group by kind")
@@ -42,7 +38,8 @@ def top_symbols(spark, root):
 
 @query(f"with {_X}, o as (select id, unnest({_list('original_content')}) s from x where original_content is not null and new_content is not null and ext in ('py', 'js', 'ts', 'rs')), n as (select id, unnest({_list('new_content')}) s from x where original_content is not null and new_content is not null and ext in ('py', 'js', 'ts', 'rs')) select id, s.kind as kind, s.name as name, 'added' as change from (select distinct id, s from n except select distinct id, s from o) union all select id, s.kind, s.name, 'removed' from (select distinct id, s from o except select distinct id, s from n)")
 def symbol_changes(spark, root):
-    return symbols.symbol_changes(_contents(spark, root), "id", "path", "original_content", "new_content")
+    changed = contents_once(spark, root, changed=symbols.difference("path", "original_content", "new_content"))
+    return changed.select("id", F.explode("changed").alias("s")).select("id", "s.kind", "s.name", "s.change")
 
 
 @query(f"with {_X} select path, count(distinct name) n_imports, sum(case when starts_with(name, '.') or starts_with(name, 'crate::') then 0 else 1 end)::bigint n_external from (select distinct path, name from sy where kind = 'import') group by 1")
@@ -66,17 +63,17 @@ def dependency_density(spark, root):
 
 @query(f"with {_X}, p as (select id, unnest(regexp_extract_all(new_content, '(?:def|function|fn) \\w+\\(([^()\\n]*)\\)', 1)) a from x where new_content is not null and ext in ('py', 'js', 'ts', 'rs')) select id, count(*) n_functions, max(case when trim(a) = '' then 0 else len(string_split(a, ',')) end) most_parameters from p group by 1")
 def parameter_lists(spark, root):
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    p = _contents(spark, root).where("new_content is not null").where(ext.isin("py", "js", "ts", "rs")).select("id", F.explode(symbols.parameters(F.col("new_content"))).alias("a"))
+    lists = F.when(symbols.extension().isin(*symbols.PATTERNS), symbols.parameters(F.col("new_content")))
+    p = contents_once(spark, root, lists=lists).select("id", F.explode("lists").alias("a"))
     return p.groupBy("id").agg(F.count(F.lit(1)).alias("n_functions"), F.max(F.when(F.trim("a") == "", 0).otherwise(F.size(F.split("a", ",")))).alias("most_parameters"))
 
 
 @query(f"with {_X} select ext, count(*) n, sum(case when regexp_matches(new_content, '(?m)^[ \\t]*(///|/\\*\\*|\"\"\")') then 1 else 0 end)::bigint n_documented, sum(case when len(string_split(new_content, chr(10))) > 80 then 1 else 0 end)::bigint n_long from x where new_content is not null and ext in ('py', 'js', 'ts', 'rs') group by 1")
 def documentation_coverage(spark, root):
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    documented = F.col("new_content").rlike(r'(?m)^[ \t]*(///|/\*\*|""")')
-    c = _contents(spark, root).where("new_content is not null").withColumn("ext", ext).where(F.col("ext").isin("py", "js", "ts", "rs"))
-    return c.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(documented, 1).otherwise(0)).alias("n_documented"), F.sum(F.when(F.size(F.split("new_content", "\n")) > 80, 1).otherwise(0)).alias("n_long"))
+    text = F.col("new_content")
+    ext = F.when(text.isNotNull() & symbols.extension().isin(*symbols.PATTERNS), symbols.extension())
+    c = contents_once(spark, root, ext=ext, documented=text.rlike(r'(?m)^[ \t]*(///|/\*\*|""")'), long=F.size(F.split(text, "\n")) > 80).where("ext is not null")
+    return c.groupBy("ext").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("documented"), 1).otherwise(0)).alias("n_documented"), F.sum(F.when(F.col("long"), 1).otherwise(0)).alias("n_long"))
 
 
 _POS, _NEG = "fixed|safe|clean|fine|ready", "failed|lost|missing|slower|error"

@@ -61,10 +61,10 @@ def within_three_edges(spark, root):
     return graph.reachable(p, p.select("s"), "s", "d", 3)
 
 
-@query(f"with recursive {_B}, r(start, node, depth) as (select distinct s, s, 0 from b union select r.start, b.d, r.depth + 1 from r join b on b.s = r.node where r.depth < 5) select start, node, min(depth) as depth from r group by 1, 2")
+@query(f"with recursive {_B}, r(start, node, depth) as (select distinct s, s, 0 from b union select r.start, b.d, r.depth + 1 from r join b on b.s = r.node) select start, node, min(depth) as depth from r group by 1, 2")
 def dependency_closure(spark, root):
     b = _bipartite(spark, root)
-    return graph.reachable(b, b.select("s"), "s", "d", 5)
+    return graph.reachable(b, b.select("s"), "s", "d")
 
 
 @query(f"with {_B} select x.s as a, y.s as b, y.d as c from b x join b y on y.s = x.d where x.s <> y.s and y.d <> x.s and x.s <> x.d and y.s <> y.d")
@@ -84,7 +84,7 @@ def weak_components(spark, root):
     return connected_components(_parents(spark, root), "s", "d")
 
 
-@query(f"with recursive {_E}, r(n, t, k) as (select s, d, 1 from e union select r.n, e.d, r.k + 1 from r join e on e.s = r.t where r.k < 32) select n as node, max(k) as depth from r group by 1")
+@query(f"with recursive {_E}, r(n, t, k) as (select s, d, 1 from e union select r.n, e.d, r.k + 1 from r join e on e.s = r.t) select n as node, max(k) as depth from r group by 1")
 def inheritance_depth(spark, root):
     return graph.inheritance_depth(_parents(spark, root), "s", "d")
 

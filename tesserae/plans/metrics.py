@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import rollups
@@ -34,6 +34,15 @@ def changes_once(spark: SparkSession, root: str) -> DataFrame:
     return latest_per_key(c, ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["checkpoint_id", "path", "change_type", "size_bytes", "content_hash", "modified_at"])
 
 
+def contents_once(spark: SparkSession, root: str, **derived: Column) -> DataFrame:
+    """``id`` and columns derived from a change's texts, each change once, as last delivered.
+
+    The columns are computed where the texts are read; only they are shuffled to find the last delivery.
+    """
+    c = table(spark, root, "file_changes").select("id", F.col("ingested_at").alias("_at"), F.coalesce("checkpoint_id", F.lit("")).alias("_cp"), *[e.alias(n) for n, e in derived.items()])
+    return latest_per_key(c, ["id"], ["_at", "_cp"], list(derived))
+
+
 _FC = """fc as (select * from (select *, row_number() over (partition by id order by ingested_at desc nulls last, coalesce(checkpoint_id, '') desc) rn from file_changes) where rn = 1)"""
 
 
@@ -97,8 +106,8 @@ def dashboard(spark, root):
 
 @query(f"with {_FC} select count(*) n_rows, count(distinct sha256(new_content)) n_contents, coalesce(sum(strlen(new_content)), 0)::bigint total_bytes, (select coalesce(sum(s), 0)::bigint from (select max(strlen(new_content)) s from fc where new_content is not null group by sha256(new_content))) unique_bytes, (coalesce(sum(strlen(new_content)), 0) - (select coalesce(sum(s), 0) from (select max(strlen(new_content)) s from fc where new_content is not null group by sha256(new_content))))::bigint saved_bytes, round((select sum(s) from (select max(strlen(new_content)) s from fc where new_content is not null group by sha256(new_content))) / sum(strlen(new_content)), 6) ratio from fc where new_content is not null")
 def content_sharing(spark, root):
-    once = latest_per_key(table(spark, root, "file_changes"), ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["new_content"])
-    return rollups.content_sharing(once, "new_content")
+    once = contents_once(spark, root, h=F.sha2("new_content", 256), size=F.octet_length("new_content").cast("long")).where("h is not null")
+    return rollups.content_sharing(once, "h", "size")
 
 
 @query(f"with {_FC} select checkpoint_id, n_created, n_modified, n_deleted, size_delta, '+' || n_created || ' =' || n_modified || ' -' || n_deleted summary from (select checkpoint_id, sum(case when lower(change_type.kind) = 'created' then 1 else 0 end)::bigint n_created, sum(case when lower(change_type.kind) in ('modified', 'renamed', 'moved') then 1 else 0 end)::bigint n_modified, sum(case when lower(change_type.kind) = 'deleted' then 1 else 0 end)::bigint n_deleted, coalesce(sum(case lower(change_type.kind) when 'created' then size_bytes when 'deleted' then -size_bytes else 0 end), 0)::bigint size_delta from fc group by 1)")

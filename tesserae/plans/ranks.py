@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import clones, ranking
 from tesserae.operators.latest import latest_per_key
-from tesserae.plans.metrics import _CP, _FC, changes_once, checkpoints_once
+from tesserae.plans.metrics import _CP, _FC, changes_once, checkpoints_once, contents_once
 from tesserae.plans.registry import Registry
 from tesserae.sources.tables import table
 
@@ -114,8 +114,7 @@ def tag_overlap(spark, root):
 
 
 def _windows(spark, root):
-    c = latest_per_key(table(spark, root, "file_changes"), ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["new_content"]).where("new_content is not null")
-    return clones.line_windows(c, "id", "new_content", 6)
+    return clones.line_windows(contents_once(spark, root, hashes=clones.window_hashes("new_content", 6)), "id", "hashes")
 
 
 _W = f"{_FC}, l as (select id, list_filter(list_transform(regexp_split_to_array(new_content, '\\r?\\n'), lambda x: trim(x, ' ')), lambda x: x <> '' and not starts_with(x, '//') and not starts_with(x, '#')) l from fc where new_content is not null), win as (select id, unnest(list_transform(range(1, len(l) - 4), lambda i: sha256(array_to_string(l[i:i + 5], chr(10))))) h from l where len(l) >= 6)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import rollups, snapshots
 from tesserae.operators.latest import latest_per_key
-from tesserae.plans.metrics import _CP, _FC, changes_once, checkpoints_once
+from tesserae.plans.metrics import _CP, _FC, changes_once, checkpoints_once, contents_once
 from tesserae.plans.registry import Registry
 from tesserae.sources.tables import table
 
@@ -48,7 +48,7 @@ def three_way_merge(spark, root):
 
 
 _CHAIN = """ch as (with recursive r(node, ancestor, depth, up, fin) as (select id, id, 0, parent_checkpoint_id, coalesce(is_full_snapshot, false) from cp where id is not null
-union all select r.node, c.id, r.depth + 1, c.parent_checkpoint_id, coalesce(c.is_full_snapshot, false) from r join cp c on c.id = r.up where not r.fin and r.depth < 12) select node, ancestor, depth from r)"""
+union all select r.node, c.id, r.depth + 1, c.parent_checkpoint_id, coalesce(c.is_full_snapshot, false) from r join cp c on c.id = r.up where not r.fin) select node, ancestor, depth from r)"""
 
 
 def _chains(spark, root):
@@ -72,8 +72,9 @@ def chain_replay(spark, root):
     return snapshots.replay(_chains(spark, root), f, "checkpoint_id", "path", ["modified_at", "id"], ["h"], rollups.kind() == "deleted")
 
 
-@query(f"""with {_CP}, {_CHAIN}, p as (select distinct base_checkpoint_id a, head_checkpoint_id b from branches where base_checkpoint_id is not null and head_checkpoint_id is not null),
-j as (select p.a, p.b, x.ancestor, x.depth + y.depth d, row_number() over (partition by p.a, p.b order by x.depth + y.depth, x.ancestor) r from p join ch x on x.node = p.a join ch y on y.node = p.b and y.ancestor = x.ancestor) select a, b, ancestor, d as distance from j where r = 1""")
+@query(f"""with recursive {_CP}, p as (select distinct base_checkpoint_id a, head_checkpoint_id b from branches where base_checkpoint_id is not null and head_checkpoint_id is not null),
+r(node, ancestor, depth, up) as (select id, id, 0, parent_checkpoint_id from cp where id in (select a from p union select b from p) union all select r.node, c.id, r.depth + 1, c.parent_checkpoint_id from r join cp c on c.id = r.up),
+j as (select p.a, p.b, x.ancestor, x.depth + y.depth d, row_number() over (partition by p.a, p.b order by x.depth + y.depth, x.ancestor) r from p join r x on x.node = p.a join r y on y.node = p.b and y.ancestor = x.ancestor) select a, b, ancestor, d as distance from j where r = 1""")
 def common_ancestors(spark, root):
     p = table(spark, root, "branches").select(F.col("base_checkpoint_id").alias("a"), F.col("head_checkpoint_id").alias("b")).where("a is not null and b is not null")
     return snapshots.common_ancestors(checkpoints_once(spark, root), "id", "parent_checkpoint_id", p, "a", "b")
@@ -87,9 +88,9 @@ def latest_per_branch(spark, root):
 
 @query(f"with {_FC.replace('select * from file_changes', 'select * from file_changes')}, x as (select id, coalesce(new_content, original_content) t, lower(content_hash) h from fc) select id from x where t is not null and sha256(t) is distinct from h")
 def hash_mismatches(spark, root):
-    once = latest_per_key(table(spark, root, "file_changes"), ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["new_content", "original_content", "content_hash"])
     text = F.coalesce("new_content", "original_content")
-    return once.where(text.isNotNull() & ~F.sha2(text, 256).eqNullSafe(F.lower("content_hash"))).select("id")
+    once = contents_once(spark, root, differs=text.isNotNull() & ~F.sha2(text, 256).eqNullSafe(F.lower("content_hash")))
+    return once.where("differs").select("id")
 
 
 @query(f"with {_FC}, {_state_sql('a', T2)} select a.path from a where a.path not in (select path from fc where path is not null and modified_at < timestamp '{T1}')")

@@ -20,7 +20,7 @@ def _events(spark, root):
 @query("select user_id, arg_max(event_id, (ts, event_id)) event_id, arg_max(event_type, (ts, event_id)) event_type from events group by 1")
 def stream_latest_per_user(spark, root):
     s = _events(spark, root).select("user_id", F.unix_micros("ts").alias("at"), "event_id", "event_type")
-    out = jobs.run_to_table(jobs.latest_per_key(s, "user_id", ["at", "event_id"], ["event_type"], "long", "at long, event_id long, event_type string"), "update")
+    out = jobs.run_to_table(jobs.latest_per_key(s, "user_id", ["at", "event_id"], ["event_type"]), "update")
     return latest.latest_per_key(out, ["user_id"], ["_batch"], ["event_id", "event_type"])
 
 

@@ -7,13 +7,10 @@ folder batch by batch, so a restarted or lost executor neither loses nor repeats
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.runtime import ensure_checkpoint_dir
 
@@ -43,24 +40,14 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema if mode == "complete" else numbered).parquet(f"{base}/rows")
 
 
-def latest_per_key(stream: DataFrame, key: str, order: list[str], columns: list[str], kind: str, types: str) -> DataFrame:
+def latest_per_key(stream: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Latest row per key as it changes, kept in state: one row of the key's columns, whatever the number of events.
 
-    Every batch emits the keys that changed; the last emission of a key is its final row.
+    Every batch emits the keys that it touched; the last emission of a key is its final row.
     """
     names = [*order, *columns]
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        for f in frames:
-            top = f.sort_values(order).iloc[-1]
-            row = tuple(top[n].item() if hasattr(top[n], "item") else top[n] for n in names)
-            if best is None or row[: len(order)] > tuple(best)[: len(order)]:
-                best = row
-        state.update(tuple(best))
-        yield pd.DataFrame([[k[0], *best]], columns=[key, *names])
-
-    return stream.select(key, *names).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {types}", types, "update", GroupStateTimeout.NoTimeout)
+    best = F.max_by(F.struct(*names), F.struct(*order)).alias("_best")
+    return stream.groupBy(key).agg(best).select(key, *[F.col("_best")[n].alias(n) for n in names])
 
 
 def windowed_counts(stream: DataFrame, at: str, by: str, size: str, late: str) -> DataFrame:

@@ -41,5 +41,10 @@ def test_empty_tables(spark):
 
 
 def test_one_key_holds_most_rows(spark):
+    for hot in (10, 10**6):
+        _one_key_holds_most_rows(spark, hot)
+
+
+def _one_key_holds_most_rows(spark, hot):
     children = [(str(i), "hot" if i % 3 else f"k{i}", D(2), D(2), "x", 0) for i in range(3000)]
-    assert orphans(_frames(spark, children, [("k0", D(1), False, "r", "s")])).count() == 2999
+    assert orphans(_frames(spark, children, [("k0", D(1), False, "r", "s")]), hot_children=hot).count() == 2999

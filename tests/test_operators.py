@@ -53,7 +53,7 @@ def test_rollups_on_nothing(spark):
     e = spark.createDataFrame([], "x string, n int")
     assert rollups.success_rate(e, F.lit(True), [F.asc("x")], 5, 1.0).collect()[0][0] == 1.0
     assert rollups.peakiness(e, "x").collect()[0][0] == 0.0
-    assert tuple(rollups.content_sharing(e, "x").collect()[0]) == (0, 0, 0, 0, 0, 1.0)
+    assert tuple(rollups.content_sharing(e, "x", "n").collect()[0]) == (0, 0, 0, 0, 0, 1.0)
 
 
 def test_snapshots(spark):
@@ -65,13 +65,21 @@ def test_snapshots(spark):
     assert got == {"a": ("same", "1"), "b": ("conflict_both_modified", "0"), "c": ("source", "3"), "d": ("conflict_both_created", None), "e": ("base_only", "0"), "f": ("target", "7")}
 
 
-def test_chains_stop_at_ends_cycles_and_unknown_parents(spark):
-    n = spark.createDataFrame([("a", None, True), ("b", "a", False), ("c", "b", None), ("x", "y", False), ("y", "x", False), ("q", "nowhere", False), ("f", "c", True)], "id string, up string, full boolean")
-    c = snapshots.chains(n, "id", "up", "full", max_depth=5)
+def test_chains_have_no_longest_length(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None, i == 3) for i in range(44)], "id int, up int, full boolean")
+    got = snapshots.chains(n, "id", "up", "full").where("node = 43").collect()
+    assert sorted((r.depth, r.ancestor) for r in got) == [(d, 43 - d) for d in range(41)]
+    with pytest.raises(RuntimeError):
+        snapshots.chains(spark.createDataFrame([("x", "y", False), ("y", "x", False)], "id string, up string, full boolean"), "id", "up", "full")
+
+
+def test_chains_stop_at_ends_and_unknown_parents(spark):
+    n = spark.createDataFrame([("a", None, True), ("b", "a", False), ("c", "b", None), ("q", "nowhere", False), ("f", "c", True)], "id string, up string, full boolean")
+    c = snapshots.chains(n, "id", "up", "full")
     by = {}
     for r in c.collect():
         by.setdefault(r.node, []).append((r.depth, r.ancestor))
-    assert sorted(by["c"]) == [(0, "c"), (1, "b"), (2, "a")] and by["f"] == [(0, "f")] and by["q"] == [(0, "q")] and len(by["x"]) == 6
+    assert sorted(by["c"]) == [(0, "c"), (1, "b"), (2, "a")] and by["f"] == [(0, "f")] and by["q"] == [(0, "q")]
     ch = spark.createDataFrame([("b", 1, "p", "h1", False), ("c", 2, "p", "h2", False), ("a", 3, "z", "h3", False), ("c", 4, "z", None, True)], "node string, i int, path string, h string, gone boolean")
     state = snapshots.replay(c, ch, "node", "path", ["i"], ["h"], F.col("gone"))
     assert {(r.path, r.h) for r in state.where("node = 'c'").collect()} == {("p", "h2")}
@@ -160,6 +168,6 @@ def test_search(spark):
 def test_clones(spark):
     body = "\n".join(f"line {i}" for i in range(8))
     df = spark.createDataFrame([(1, body), (2, "// c\n" + body.replace("\n", "  \n\n")), (3, "short"), (4, None)], "id int, t string")
-    w = clones.line_windows(df, "id", "t", 6)
+    w = clones.line_windows(df.select("id", clones.window_hashes("t", 6).alias("h6")), "id", "h6")
     assert {(r.n_places, r.n_files) for r in clones.exact_clones(w, "id").collect()} == {(2, 2)}
     assert rows(clones.duplication(w, "id", clones.exact_clones(w, "id"))) == [(1, 3, 3, 1.0), (2, 3, 3, 1.0)]

@@ -51,7 +51,7 @@ def test_backup_and_bundle(spark, tmp_path):
 def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "2025-01-01 00:00:00", "a"), (1, "2025-01-01 02:00:00", "b"), (2, "2025-01-01 00:30:00", "c")], "k long, t string, v string").withColumn("t", F.to_timestamp("t")).write.parquet(str(tmp_path / "e.parquet"))
     s = jobs.stream_table(spark, str(tmp_path), "e")
-    out = jobs.run_to_table(jobs.latest_per_key(s.withColumn("at", F.unix_micros("t")), "k", ["at"], ["v"], "long", "at long, v string"), "update")
+    out = jobs.run_to_table(jobs.latest_per_key(s.withColumn("at", F.unix_micros("t")), "k", ["at"], ["v"]), "update")
     assert {(r.k, r.v) for r in out.collect()} == {(1, "b"), (2, "c")}
     out = jobs.run_to_table(jobs.sessions(s, "t", "k", "1 hour", "1 day"), "complete")
     assert sorted((r.k, r.n) for r in out.collect()) == [(1, 1), (1, 1), (2, 1)]
