@@ -52,6 +52,30 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_depth
     return seen
 
 
+def shortest_paths(edges: DataFrame, src: str, dst: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``a, b, path``: for each pair of nodes a shortest way along the edges as an array; of equally short ones the least.
+
+    All pairs advance a step a round; a pair stops when it has arrived, or when every node it reaches was seen. A node
+    is its own way. Pairs without a way have no row.
+    """
+    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()
+    front = materialize(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct().select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
+    found = front.where("node = b").select("a", "b", "path")
+    front = front.where("node <> b")
+    seen, rounds = front.select("a", "b", "node"), 0
+    while not front.isEmpty():
+        rounds += 1
+        step = front.join(e, front.node == e._s).select("a", "b", F.col("_d").alias("node"), F.concat("path", F.array("_d")).alias("path"))
+        step = materialize(step.groupBy("a", "b", "node").agg(F.min("path").alias("path")).join(seen, ["a", "b", "node"], "left_anti"))
+        arrived = step.where("node = b").select("a", "b", "path")
+        found = found.unionByName(arrived)
+        front = step.join(arrived.select("a", "b"), ["a", "b"], "left_anti")
+        seen = seen.unionByName(step.select("a", "b", "node"))
+        if rounds % 8 == 0:
+            found, seen = materialize(found), materialize(seen)
+    return found.select(F.col("a").alias(a), F.col("b").alias(b), "path")
+
+
 def simple_paths(edges: DataFrame, src: str, dst: str, length: int) -> DataFrame:
     """``path``: arrays of nodes of all simple paths with exactly ``length`` edges; shorter dead ends vanish."""
     e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()

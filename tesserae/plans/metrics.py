@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +36,14 @@ def changes_once(spark: SparkSession, root: str) -> DataFrame:
     return latest_per_key(c, ["id"], ["ingested_at", F.coalesce("checkpoint_id", F.lit(""))], ["checkpoint_id", "path", "change_type", "size_bytes", "content_hash", "modified_at"])
 
 
-def contents_once(spark: SparkSession, root: str, **derived: Column) -> DataFrame:
+def contents_once(spark: SparkSession, root: str, prepare: Callable[[DataFrame], DataFrame] | None = None, **derived: Column) -> DataFrame:
     """``id`` and columns derived from a change's texts, each change once, as last delivered.
 
-    The columns are computed where the texts are read; only they are shuffled to find the last delivery.
+    The columns are computed where the texts are read, over the rows as ``prepare`` leaves them; only they are
+    shuffled to find the last delivery.
     """
-    c = table(spark, root, "file_changes").select("id", F.col("ingested_at").alias("_at"), F.coalesce("checkpoint_id", F.lit("")).alias("_cp"), *[e.alias(n) for n, e in derived.items()])
+    rows = table(spark, root, "file_changes")
+    c = (prepare(rows) if prepare else rows).select("id", F.col("ingested_at").alias("_at"), F.coalesce("checkpoint_id", F.lit("")).alias("_cp"), *[e.alias(n) for n, e in derived.items()])
     return latest_per_key(c, ["id"], ["_at", "_cp"], list(derived))
 
 
