@@ -1,17 +1,22 @@
 """Near-duplicate records by a chosen-path join over token triples.
 
-Each set of triples is embedded by one-permutation minhash into ``COORDINATES`` coordinates, so that
-two sets agree in a coordinate with a probability of their similarity. A tree of buckets is grown from
-several roots, the runs: a record enters a run's bucket by one coordinate's value, and the records of a
-bucket too large for brute force are split again, each time on coordinates that the node samples by
-its own hash, into buckets of records that share the sampled value. Two children are grown per node,
-so a pair of similarity 0.7 survives any number of splits with a probability of 0.81, and ``RUNS``
-independent runs bring the expected recall above 0.999. Nothing that falls into a small bucket is
-left out; a large bucket that a split hardly shrinks, or that is left after ``DEPTH`` splits, is compared in
-full but for the records of its commonest label among each other, which no result can name.
-
-Only candidates that a 64-bit summary does not rule out are compared exactly, on whole sets.
-Exact copies of a set take part once and are put back at the end.
+Each set of triples is represented by ``COORDINATES`` tokens of its own that one-permutation minhash samples, one
+for each slot of the hash, so that two sets hold the same token in a slot with a probability of their similarity.
+A tree of buckets is grown from several roots, the runs: a record enters a run's bucket by one sampled token, and
+the records of a bucket too large for brute force are split again, each time on slots that the node samples by its
+own hash, into buckets of records that share the sampled token. Two children are grown per node, so a pair of
+similarity 0.7 survives any number of splits with a probability of 0.81. Nothing that falls into a small bucket is
+left out; a large bucket that a split hardly shrinks, or that is left after ``DEPTH`` splits, is compared in full
+but for the records of its commonest label among each other, which no result can name; its records are dealt into
+blocks and the comparisons of two blocks are one group of work, so no task gets a whole hot bucket.
+
+Runs are repeated until the target recall: pairs that hold are counted by the number of runs that found them, and
+from those found once and twice the number that no run has found yet is estimated (Chao's estimator). The first
+``FIRST_RUNS`` runs are followed by ``MORE_RUNS`` at a time as long as the estimated recall is below ``RECALL``.
+
+Only candidates that a 64-bit summary does not rule out are compared exactly, on whole sets. Exact copies of a set
+take part once, by a representative; groups and numbers of links are found from representatives and the members
+of each class, without a pair of copies ever being written out.
 """
 
 from __future__ import annotations
@@ -24,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.tokens import slices
+from tesserae.operators.components import connected_components
 from tesserae.runtime import materialize
 
 COORDINATES = 64
-RUNS = 12
+#: Runs before recall is estimated for the first time, runs added at a time, and the recall that ends them.
+FIRST_RUNS, MORE_RUNS, RECALL = 8, 4, 0.9995
 BUCKET = 24
+#: Records of a large bucket that one block holds, on average.
+BLOCK = 2048
 DEPTH = 8
 #: A bucket that a split leaves this much of is of one kind; splitting it again would only copy it.
 STUCK = 0.9
@@ -144,26 +153,36 @@ def _sets(records: DataFrame, kind: str, least_tokens: int) -> DataFrame:
 
 def _bucket_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one bucket that sizes, labels and summaries do not rule out."""
-    side = lambda x: rows.select("node", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "low", "high", "n", "bits")])
+    side = lambda x: rows.select("node", *(["run"] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "low", "high", "n", "bits")])
     may = f"rep_a < rep_b and least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and not (low_a = high_b and high_a = low_b) and bit_count(bits_a ^ bits_b) <= {SUMMARY_BITS}"
-    return side("a").join(side("b"), "node").where(may).select("rep_a", "rep_b")
+    return side("a").join(side("b"), "node").where(may).select("run", "rep_a", "rep_b")
+
 
+def _crowded_pairs(rows: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """The same for large buckets ``node, ..., held``: records of a bucket's commonest label are only compared with those of other labels.
 
-def _crowded_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The same for large buckets: records of a bucket's commonest label are only compared with those of other labels."""
+    A record belongs to one of ``held / block`` blocks. Those without the commonest label meet every block of their
+    bucket, each meeting in a group of its own.
+    """
     common = rows.where("low = high").groupBy("node", "low").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "low")).alias("c")).select("node", F.col("c.low").alias("common"))
     marked = rows.join(common, "node", "left").withColumn("is_common", F.coalesce((F.col("low") == F.col("common")) & (F.col("high") == F.col("common")), F.lit(False)))
-    side = lambda x, df: df.select("node", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "low", "high", "n", "bits")])
+    blocks = (F.floor(F.col("held") / block) + 1).cast("int")
+    dealt = marked.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64("rep", "node"), F.col("_n")).cast("int"))
+    side = lambda x, df: df.select("node", "_a", "_b", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "low", "high", "n", "bits")])
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(c)
+    left = dealt.where("not is_common").select("*", F.col("_own").alias("_a"), every("_b"))
+    right = dealt.select("*", F.col("_own").alias("_b"), every("_a"))
     may = f"rep_a <> rep_b and least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and not (low_a = high_b and high_a = low_b) and bit_count(bits_a ^ bits_b) <= {SUMMARY_BITS}"
-    pairs = side("a", marked.where("not is_common")).join(side("b", marked), "node").where(may)
-    return pairs.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"))
+    pairs = side("a", left).join(side("b", right), ["node", "_a", "_b"]).where(may)
+    return pairs.select("node", F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"))
 
 
-def _candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
-    slim = ["rep", "low", "high", "n", "bits"]
+def _candidates(sketches: DataFrame, num: int, den: int, first: int, runs: int) -> DataFrame:
+    """``rep_a, rep_b, hits``: pairs that share a bucket in some of the runs ``first .. first + runs - 1``, and in how many."""
+    slim = ["run", "rep", "low", "high", "n", "bits"]
     stuck = f"held > {BUCKET} and held >= {STUCK} * was"
-    run = F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run")
-    rows = sketches.select(*slim, "sig", run).select(F.xxhash64("run", F.element_at("sig", F.col("run") + 1)).alias("node"), *slim, F.lit(None).cast("long").alias("was"))
+    run = F.explode(F.sequence(F.lit(first), F.lit(first + runs - 1))).alias("run")
+    rows = sketches.select(*slim[1:], "sig", run).select(F.xxhash64("run", F.element_at("sig", F.pmod("run", F.lit(COORDINATES)) + 1)).alias("node"), *slim, F.lit(None).cast("long").alias("was"))
     found, level = None, 0
     while True:
         size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.min("low").alias("lowest"), F.max("high").alias("highest")).where("held > 1 and lowest <> highest").select("node", "held")
@@ -172,13 +191,15 @@ def _candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
         found = small if found is None else found.unionByName(small)
         level += 1
         crowded = materialize(sized.where(f"held > {BUCKET}").select("node", *slim, "held", F.coalesce(F.expr(stuck), F.lit(False)).alias("stuck")))
-        if crowded.isEmpty():
-            return found.distinct()
-        found = found.unionByName(_crowded_pairs(crowded.where(F.col("stuck") | F.lit(level > DEPTH)), num, den))
-        if level > DEPTH:
-            return found.distinct()
+        done = crowded.isEmpty()
+        if not done:
+            left = crowded.where(F.col("stuck") | F.lit(level > DEPTH))
+            of_run = left.select("node", "run").distinct()
+            found = found.unionByName(_crowded_pairs(left.drop("run"), num, den).join(of_run, "node").select("run", "rep_a", "rep_b"))
+        if done or level > DEPTH:
+            return found.distinct().groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("hits"))
         crowded = crowded.where("not stuck").drop("stuck")
-        # Two coordinates, sampled by the node, split its records by their values.
+        # Two slots, sampled by the node, split its records by their tokens.
         child = lambda k: F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(COORDINATES)).cast("int")
         other = F.pmod(child(1) + 1 + F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
         rows = (
@@ -188,36 +209,87 @@ def _candidates(sketches: DataFrame, num: int, den: int) -> DataFrame:
         )
 
 
-def near_duplicate_pairs(records: DataFrame, id_column: str, label_column: str, text_column: str, *, num: int = 7, den: int = 10, least_tokens: int = 30) -> DataFrame:
-    """``id_a, id_b``: records of different labels whose triples' Jaccard similarity is at least num / den.
-
-    The smaller id comes first and pairs are distinct. Texts with fewer than ``least_tokens`` tokens,
-    null texts and null ids are left out; a null label counts as empty; repeated deliveries of an id count
-    once; no rows give no pairs. Candidates come from the chosen-path join, similarities are exact.
-    """
-    kind = records.schema[id_column].dataType.simpleString()
-    label = F.xxhash64(F.coalesce(F.col(label_column), F.lit("")))
-    texts = records.select(F.col(id_column).alias("_id"), label.alias("_label"), F.col(text_column).alias("_text")).where("_id is not null and _text is not null")
-    sketched = materialize(_sketches(texts, kind, least_tokens))
-    members = sketched.groupBy("s1", "s2", "n", "_id").agg(F.first("_label").alias("_label"))
-    classes = (
-        sketched.groupBy("s1", "s2", "n")
-        .agg(F.min("_id").alias("rep"), F.min("_label").alias("low"), F.max("_label").alias("high"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
-    )
-    reps = materialize(classes)
-    candidates = materialize(_candidates(reps.select("rep", "low", "high", "n", "bits", "sig"), num, den))
+def _exact(candidates: DataFrame, texts: DataFrame, kind: str, num: int, den: int, least_tokens: int) -> DataFrame:
+    """The candidates ``rep_a, rep_b`` whose whole sets are similar enough."""
     wanted = candidates.select(F.explode(F.array("rep_a", "rep_b")).alias("_id")).distinct()
     sets = _sets(texts.select("_id", "_text").join(wanted, "_id", "left_semi"), kind, least_tokens).groupBy("_id").agg(F.first("triples").alias("triples"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    exact = (
-        candidates.join(sets.select(F.col("_id").alias("rep_a"), F.col("triples").alias("ta")), "rep_a")
+    return (
+        candidates.select("rep_a", "rep_b")
+        .join(sets.select(F.col("_id").alias("rep_a"), F.col("triples").alias("ta")), "rep_a")
         .join(sets.select(F.col("_id").alias("rep_b"), F.col("triples").alias("tb")), "rep_b")
         .select("rep_a", "rep_b", shared.alias("both"), (F.size("ta") + F.size("tb") - shared).alias("either"))
         .where(f"both * {den} >= either * {num}")
         .select("rep_a", "rep_b")
     )
+
+
+def estimated_recall(found: int, once: int, twice: int, runs: int) -> float:
+    """Share of all pairs that is found, by Chao's estimate of those that no run has found."""
+    missing = (runs - 1) / runs * once * (once - 1) / (2 * (twice + 1))
+    return found / (found + missing) if found else 1.0
+
+
+def near_duplicate_classes(records: DataFrame, id_column: str, label_column: str, text_column: str, *, num: int = 7, den: int = 10, least_tokens: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Members ``rep, _id, _label`` of each class of equal sets, and links ``rep_a, rep_b`` between similar classes.
+
+    A class with several labels is linked to itself. Only classes that a result can name are linked: not two of one
+    and the same label. A repeated id is a member once a class, under its least label.
+    """
+    kind = records.schema[id_column].dataType.simpleString()
+    label = F.xxhash64(F.coalesce(F.col(label_column), F.lit("")))
+    texts = records.select(F.col(id_column).alias("_id"), label.alias("_label"), F.col(text_column).alias("_text")).where("_id is not null and _text is not null")
+    sketched = materialize(_sketches(texts, kind, least_tokens))
+    members = sketched.groupBy("s1", "s2", "n", "_id").agg(F.min("_label").alias("_label"))
+    classes = sketched.groupBy("s1", "s2", "n").agg(F.min("_id").alias("rep"), F.min("_label").alias("low"), F.max("_label").alias("high"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
+    reps = materialize(classes)
+    sketches = reps.select("rep", "low", "high", "n", "bits", "sig")
+    hits = good = None
+    runs, step = 0, FIRST_RUNS
+    while True:
+        fresh = materialize(_candidates(sketches, num, den, runs, step))
+        unknown = fresh if hits is None else fresh.join(hits, ["rep_a", "rep_b"], "left_anti")
+        holds = materialize(_exact(unknown, texts, kind, num, den, least_tokens))
+        good = holds if good is None else good.unionByName(holds)
+        hits = fresh if hits is None else materialize(hits.unionByName(fresh).groupBy("rep_a", "rep_b").agg(F.sum("hits").alias("hits")))
+        runs, step = runs + step, MORE_RUNS
+        c = good.join(hits, ["rep_a", "rep_b"]).agg(F.count(F.lit(1)), F.count(F.when(F.col("hits") == 1, 1)), F.count(F.when(F.col("hits") == 2, 1))).first()
+        if estimated_recall(c[0], c[1], c[2], runs) >= RECALL or runs >= COORDINATES:
+            break
     within = reps.where("low <> high").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"))
     people = members.join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("rep", "_id", "_label")
+    return people, good.unionByName(within)
+
+
+def near_duplicate_pairs(records: DataFrame, id_column: str, label_column: str, text_column: str, *, num: int = 7, den: int = 10, least_tokens: int = 30) -> DataFrame:
+    """``id_a, id_b``: records of different labels whose triples' Jaccard similarity is at least num / den.
+
+    The smaller id comes first and pairs are distinct. Texts with fewer than ``least_tokens`` tokens,
+    null texts and null ids are left out; a null label counts as empty; repeated deliveries of an id count
+    once; no rows give no pairs. Candidates come from the chosen-path join, similarities are exact.
+    """
+    people, links = near_duplicate_classes(records, id_column, label_column, text_column, num=num, den=den, least_tokens=least_tokens)
     side = lambda x: people.select(F.col("rep").alias(f"rep_{x}"), F.col("_id").alias(f"i{x}"), F.col("_label").alias(f"l{x}"))
-    pairs = exact.unionByName(within).join(side("a"), "rep_a").join(side("b"), "rep_b").where("la <> lb and ia <> ib")
+    pairs = links.join(side("a"), "rep_a").join(side("b"), "rep_b").where("la <> lb and ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(records: DataFrame, id_column: str, label_column: str, text_column: str, *, num: int = 7, den: int = 10, least_tokens: int = 30) -> DataFrame:
+    """``id, group_id, n_links``: each record with a near duplicate, its group by the least id, and how many it has.
+
+    Components are those of the classes, whose members are all linked or share their links; the number of links is
+    the size of the linked classes less their members of the record's own label. No pair of members is written out.
+    Texts, nulls and repeats behave as in :func:`near_duplicate_pairs`.
+    """
+    people, links = near_duplicate_classes(records, id_column, label_column, text_column, num=num, den=den, least_tokens=least_tokens)
+    people, links = materialize(people), materialize(links)
+    sized = people.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    labelled = people.groupBy("rep", "_label").agg(F.count(F.lit(1)).alias("k"))
+    both = links.unionByName(links.where("rep_a <> rep_b").select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
+    total = both.join(sized, F.col("rep_b") == F.col("rep")).groupBy("rep_a").agg(F.sum("size").alias("total"))
+    own = both.join(labelled, F.col("rep_b") == F.col("rep")).groupBy("rep_a", "_label").agg(F.sum("k").alias("own"))
+    # Two members of one class with one label are no link, nor is one that a class holds by itself.
+    counted = people.join(total, F.col("rep") == F.col("rep_a")).drop("rep_a").join(own.withColumnRenamed("rep_a", "rep"), ["rep", "_label"], "left").select("rep", "_id", (F.col("total") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    joined = connected_components(links.where("rep_a <> rep_b"), "rep_a", "rep_b").select(F.col("node").alias("rep"), "component")
+    placed = counted.join(joined, "rep", "left").select("_id", F.coalesce("component", "rep").alias("group_id"), "n")
+    return placed.groupBy(F.col("_id").alias("id")).agg(F.min("group_id").alias("group_id"), F.sum("n").alias("n_links"))

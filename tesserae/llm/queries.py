@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.credentials import credential_lines, redacted
 from tesserae.llm.handwritten import not_handwritten
-from tesserae.llm.neardup import near_duplicate_pairs
+from tesserae.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from tesserae.llm.packing import fill_containers
 from tesserae.llm.parsing import parse_errors
 from tesserae.llm.spans import shared_coverage, shared_span_pairs
 from tesserae.llm.stuffing import stuffed_pages
 from tesserae.llm.tokens import count_column, encode_column
-from tesserae.operators.components import connected_components
 from tesserae.operators.integrity import normal_key
 from tesserae.runtime import materialize
 from tesserae.sources.tables import table
@@ -48,10 +47,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, root: str) -> DataFrame:
     """The group of each file change that has a near duplicate, and its number of links."""
-    pairs = materialize(p4_found(spark, root))
-    links = pairs.select(F.explode(F.array("id_a", "id_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    groups = connected_components(pairs, "id_a", "id_b")
-    return groups.join(links, "node").select(F.col("node").alias("id"), F.col("component").alias("group_id"), "n_links")
+    return near_duplicate_groups(table(spark, root, "file_changes"), "id", "path", "new_content")
 
 
 def _workspaces(spark: SparkSession, root: str) -> DataFrame:
@@ -168,6 +164,15 @@ t as (select id, path, unnest([o, n]) t from c),
 w as (select id, path, unnest(list_transform(range(1, length(t) - 198), lambda i: hash(substr(t, i, 200)))) h from t where length(t) >= 200),
 u as (select distinct id, path, h from w)
 select distinct a.id id_a, b.id id_b from u a join u b on a.h = b.h and a.id < b.id and a.path <> b.path""",
+    "p4_groups": """
+with recursive c as (select id, any_value(path) path, any_value(new_content) t from file_changes where new_content is not null and id is not null group by id),
+w as (select id, coalesce(path, '') path, regexp_extract_all(lower(t), '[a-z0-9_]+') w from c),
+s as (select id, path, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s from w where len(w) >= 30),
+x as (select id, path, len(s) n, unnest(s) g from s),
+p as (select a.id id_a, b.id id_b, any_value(a.n) na, any_value(b.n) nb, count(*) k from x a join x b on a.g = b.g and a.id < b.id and a.path <> b.path group by 1, 2),
+e as materialized (select id_a, id_b from p where 10 * k >= 7 * (na + nb - k) union all select id_b, id_a from p where 10 * k >= 7 * (na + nb - k)),
+r(id, other) as (select id_a, id_b from e union select r.id, e.id_b from r join e on e.id_a = r.other)
+select id, least(id, min(other)) group_id, (select count(*) from e where e.id_a = r.id) n_links from r group by id""",
     "p4_found": """
 with c as (select id, any_value(path) path, any_value(new_content) t from file_changes where new_content is not null and id is not null group by id),
 w as (select id, coalesce(path, '') path, regexp_extract_all(lower(t), '[a-z0-9_]+') w from c),

@@ -7,13 +7,16 @@ same anchor in every copy, and the prefix of an anchored suffix is its k letters
 
 1. the prefixes are counted with a map-side combine and only those that stand under two different
    labels (paths) survive, as no other subtree can hold a span shared by two of them;
-2. the surviving suffixes are fetched with the letters around them and sent to their prefix's group;
-3. within a group the suffixes are sorted. Neighbours in that order bound every node's depth, and
-   the letters before the anchor extend a node to the left; nodes deep enough are reported.
-
-A prefix held by more suffixes than a group may have (a licence header in a third of all files) is
-split by longer prefixes until nothing is left to compare: its suffixes are keyed by each whole span
-that contains the anchor, and equal keys are equal spans. Nothing is capped or left out on the way.
+2. the surviving suffixes are fetched with the letters around them. Equal contexts (letters before and
+   from the anchor on) are folded into one, with its least and greatest label, again with a map-side
+   combine, so a licence header in a third of all files is one leaf;
+3. the contexts of a prefix form a subtree: sorted, their neighbours' common beginnings give its internal
+   nodes. A node's leaves that agree in enough letters before the anchor share a span, a repeat that
+   cannot be extended to the right; each is reported with its members, once, where they first part.
+
+A prefix with more contexts than ``GROUP_CONTEXTS`` is lengthened to whole spans: its contexts are keyed by every
+span around the anchor, and equal keys are equal spans, the deepest nodes there are. Repeats with the same members
+are folded. Pairs are only written out in the end, from each repeat's records dealt into blocks.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.tokens import slices
+from tesserae.runtime import materialize
 
 PREFIX = 64
-GROUP_SUFFIXES = 64
+#: Contexts of one prefix that a task holds at once, and records of a repeat that a block of pairs holds, on average.
+GROUP_CONTEXTS, BLOCK = 2048, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _LOW = 23  # bits of a hash that give way to the position, so one minimum yields both
@@ -99,6 +104,17 @@ def anchors(texts: list[str], k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
     keep = np.ones(len(least), dtype=bool)
     keep[1:] = least[1:] != least[:-1]
     at = (least[keep] & np.uint64((1 << _LOW) - 1)).astype(np.int64)
+    if len(at) > 2 * w:
+        # In a run of one letter every window is an anchor like the next; of those with the same letters all around,
+        # one in w is enough.
+        same = np.zeros(len(codes) + 1, dtype=np.int64)
+        like = np.append(False, codes[1:] == codes[:-1])
+        like[(ends - size)[ends > ends - size]] = False  # a run ends with its text
+        np.cumsum(like, out=same[1:])
+        reach = w + k
+        inner = (at >= reach) & (at + reach < len(codes))
+        inner &= same[np.minimum(at + reach, len(codes))] - same[np.maximum(at - reach, 0) + 1] == 2 * reach - 1
+        at = at[~inner | (at % w == 0)]
     text = np.searchsorted(ends, at, side="right")
     return text, at - (ends - size)[text], h[at]
 
@@ -142,83 +158,130 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def subtree_links(rows: list[tuple], span: int, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """Pairs of suffixes of one prefix whose common span is long enough, as ``(i, j, left, right)``.
+def subtree_repeats(rows: list[tuple], span: int, k: int) -> Iterator[tuple[list[int], int, list[int]]]:
+    """Repeats of one prefix as ``(members, letters from the anchor, letters before it that each member shares)``.
 
-    Each row is ``(..., label, before, suffix)``, sorted by suffix; ``before`` is reversed. left and right
-    count the letters of the common span before and from the anchor. Depths of nodes are running minima of
-    the neighbours' common beginnings, so a scan from i stops at the first node too shallow for any span.
+    Each row is ``(..., low, high, before, suffix)``, different and sorted by suffix, with the least and the greatest
+    label of the context; ``before`` is reversed. Members of a repeat have at least ``span`` letters in common, and
+    not all one label. A member's letters before the anchor are the most it shares with one of another label.
     """
     n = len(rows)
     depth = [_common(rows[i][-1], rows[i + 1][-1]) for i in range(n - 1)]
+    # Internal nodes as intervals of rows, by a stack over the neighbours' common beginnings.
+    stack: list[tuple[int, int]] = []
+    nodes: list[tuple[int, int, int]] = []
     for i in range(n):
-        right = 1 << 60
-        for j in range(i + 1, n):
-            right = min(right, depth[j - 1])
-            if right < k:
-                break
-            if rows[i][-3] == rows[j][-3] or right + min(len(rows[i][-2]), len(rows[j][-2])) < span:
+        d = depth[i] if i < n - 1 else -1
+        low = i
+        while stack and stack[-1][0] > d:
+            deep, low = stack.pop()
+            nodes.append((deep, low, i))
+        if d >= k and (not stack or stack[-1][0] < d):
+            stack.append((d, low))
+    for d, low, high in nodes:
+        need = span - d
+        order = sorted(range(low, high + 1), key=lambda i: rows[i][-2])
+        start = 0
+        for j in range(1, len(order) + 1):
+            if j < len(order) and (need <= 0 or len(rows[order[start]][-2]) >= need and rows[order[j]][-2][:need] == rows[order[start]][-2][:need]):
+                continue
+            group, start = order[start:j], j
+            if len(group) < 2 or need > 0 and len(rows[group[0]][-2]) < need:
+                continue
+            if min(rows[i][-4] for i in group) == max(rows[i][-3] for i in group):
                 continue
-            left = _common(rows[i][-2], rows[j][-2])
-            if left + right >= span:
-                yield i, j, left, right
+            # Members that part only further down are a repeat of that node.
+            if not any(depth[i] == d for i in range(min(group), max(group))):
+                continue
+            yield group, d, _most_shared(rows, group)
+
 
+def _most_shared(rows: list[tuple], group: list[int]) -> list[int]:
+    """For each member, sorted by the letters before, how many of them it shares with one of another label."""
 
-def _suffixes(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], span: int, k: int, places_matter: bool) -> tuple[DataFrame, DataFrame, str]:
-    """(suffixes in groups of bounded size, suffixes of crowded prefixes, type of the id)."""
+    def sweep(order: list[int]) -> list[int]:
+        out, best = [], -1  # what the one before shares with the nearest of another label
+        for at, i in enumerate(order):
+            if at:
+                j = order[at - 1]
+                common = _common(rows[j][-2], rows[i][-2])
+                one = rows[i][-4] == rows[i][-3] == rows[j][-4] == rows[j][-3]
+                best = min(best, common) if one else common
+            out.append(best)
+        return out
+
+    return [max(a, b, 0) for a, b in zip(sweep(group), sweep(group[::-1])[::-1])]
+
+
+def _suffixes(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], span: int, k: int, places_matter: bool) -> DataFrame:
+    """``h, _id, place, _label, before, suffix`` of the suffixes whose prefix stands under two labels; a context once a record unless places matter."""
     kind = records.schema[id_column].dataType.simpleString()
     texts = records.select(F.col(id_column).alias("_id"), F.xxhash64(F.coalesce(F.col(label_column), F.lit(""))).alias("_label"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(text_columns)]).where("_id is not null")
     cut = texts.where(" or ".join(f"length(_t{i}) >= {span}" for i in range(len(text_columns))))
-    shared = (
-        _anchor_rows(cut, text_columns, span, k, "h long, _label long", True)
-        .groupBy("h")
-        .agg(F.min("_label").alias("low"), F.max("_label").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("low <> high")
-        .select("h", (F.col("n") > GROUP_SUFFIXES).alias("crowded"))
-    )
+    shared = _anchor_rows(cut, text_columns, span, k, "h long, _label long", True).groupBy("h").agg(F.min("_label").alias("low"), F.max("_label").alias("high")).where("low <> high").select("h")
     places = (
         _anchor_rows(cut, text_columns, span, k, f"h long, _id {kind}, place long", False)
         .join(shared, "h")
         .groupBy("_id")
-        .agg(F.collect_list(F.struct("place", "h", "crowded")).alias("places"))  # no more than the letters of one record
+        .agg(F.collect_list(F.struct("place", "h")).alias("places"))  # no more than the letters of one record
     )
-    joined = cut.join(places, "_id").select("_id", "_label", *[f"_t{i}" for i in range(len(text_columns))], F.col("places.place").alias("place"), F.col("places.h").alias("h"), F.col("places.crowded").alias("crowded"))
+    joined = cut.join(places, "_id").select("_id", "_label", *[f"_t{i}" for i in range(len(text_columns))], F.col("places.place").alias("place"), F.col("places.h").alias("h"))
     sides, reach = len(text_columns), span - k
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for r in batch.slice(start, 64).to_pylist():
                     seen = set()
-                    for place, h, crowded in zip(r["place"], r["h"], r["crowded"]):
+                    for place, h in zip(r["place"], r["h"]):
                         pos, side = divmod(place, sides)
                         text = r[f"_t{side}"]
                         # A repeated id may come with other texts; a place outside of one is not its own.
                         before, suffix = text[max(0, pos - reach) : pos] if text else "", text[pos : pos + k + reach] if text else ""
                         if len(suffix) < k or len(before) + len(suffix) < span:
                             continue
-                        key = (h, side, before, suffix)
-                        if key in seen and not places_matter:
-                            continue
-                        seen.add(key)
-                        for column, value in zip(out, (h, crowded, r["_id"], place, r["_label"], before[::-1], suffix)):
+                        key = (h, before, suffix)
+                        if not places_matter:
+                            if key in seen:
+                                continue
+                            seen.add(key)
+                        for column, value in zip(out, (h, r["_id"], place, r["_label"], before[::-1], suffix)):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], batch.schema.field("_id").type), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.string()), pa.array(out[6], pa.string())], names=["h", "crowded", "_id", "place", "_label", "before", "suffix"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field("_id").type), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], names=["h", "_id", "place", "_label", "before", "suffix"])
+
+    return joined.mapInArrow(fetch, f"h long, _id {kind}, place long, _label long, before string, suffix string")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """The rows with the two-part name ``c1, c2`` of their context."""
+    return df.withColumn("c1", F.xxhash64("h", "before", "suffix")).withColumn("c2", F.xxhash64("suffix", "h", "before"))
 
-    suffixes = joined.mapInArrow(fetch, f"h long, crowded boolean, _id {kind}, place long, _label long, before string, suffix string")
-    return suffixes.where("not crowded"), suffixes.where("crowded"), kind
 
+def _repeats(suffixes: DataFrame, span: int, k: int, group: int = GROUP_CONTEXTS) -> DataFrame:
+    """``n1, n2, c1, c2, left, right``: repeats and the contexts that are their members, with the letters they share around the anchor."""
+    contexts = _named(suffixes.groupBy("h", "before", "suffix").agg(F.min("_label").alias("low"), F.max("_label").alias("high")))
+    sized = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("h", "k")
+    contexts = contexts.join(sized, "h")
+    # A context under two labels is a repeat by itself.
+    alone = contexts.where("low <> high").select(F.col("c1").alias("n1"), F.col("c2").alias("n2"), "c1", "c2", F.length("before").alias("left"), F.length("suffix").alias("right"))
 
-def _grouped(small: DataFrame, schema: str, make) -> DataFrame:
-    """Run ``make(rows of one prefix)`` over sorted groups that never exceed GROUP_SUFFIXES times the copies of an id."""
+    def make(groups: Iterable[list[tuple]]) -> pa.RecordBatch:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for rows in groups:
+            for members, d, left in subtree_repeats(rows, span, k):
+                n1, n2 = rows[members[0]][1] ^ d, rows[members[-1]][2] ^ (d << 20)
+                for i, most in zip(members, left):
+                    for column, value in zip(out, (n1, n2, rows[i][1], rows[i][2], most, d)):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["n1", "n2", "c1", "c2", "left", "right"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[tuple] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                rows = rest + list(zip(*(part.column(i).to_pylist() for i in range(6))))
+                rows = rest + list(zip(*(part.column(i).to_pylist() for i in range(7))))
                 end = len(rows)
                 while end and rows[end - 1][0] == rows[-1][0]:
                     end -= 1
@@ -227,7 +290,17 @@ def _grouped(small: DataFrame, schema: str, make) -> DataFrame:
         if rest:
             yield make(_runs(rest))
 
-    return small.select("h", "_id", "place", "_label", "before", "suffix").repartition("h").sortWithinPartitions("h", "suffix", "before", "_id", "place").mapInArrow(run, schema)
+    columns = ["h", "c1", "c2", "low", "high", "before", "suffix"]
+    in_trees = contexts.where(f"k > 1 and k <= {group}").select(*columns).repartition("h").sortWithinPartitions("h", "suffix", "before")
+    trees = in_trees.mapInArrow(run, "n1 long, n2 long, c1 long, c2 long, left long, right long")
+    text = F.concat(F.reverse("before"), F.col("suffix"))
+    each = F.explode(F.sequence(F.lit(1), F.length("text") - F.lit(span - 1))).alias("o")
+    cut = contexts.where(f"k > {group}").select("c1", "c2", "low", "high", F.length("before").alias("nb"), text.alias("text")).select("c1", "c2", "low", "high", "nb", "text", each)
+    letters = F.substring(F.col("text"), F.col("o"), F.lit(span))
+    spans = cut.select(F.xxhash64(letters).alias("n1"), F.xxhash64(F.lit(1), letters).alias("n2"), "c1", "c2", "low", "high", (F.col("nb") - F.col("o") + 1).alias("left"), (F.col("o") - 1 - F.col("nb") + span).alias("right"))
+    both = spans.groupBy("n1", "n2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("n1", "n2")
+    deep = spans.join(both, ["n1", "n2"]).select("n1", "n2", "c1", "c2", "left", "right")
+    return alone.unionByName(trees).unionByName(deep)
 
 
 def _runs(rows: list[tuple]) -> Iterator[list[tuple]]:
@@ -239,16 +312,7 @@ def _runs(rows: list[tuple]) -> Iterator[list[tuple]]:
             start = i
 
 
-def _spans(crowded: DataFrame, span: int, k: int) -> DataFrame:
-    """``s1, s2, _id, _label, begin``: each whole span around the anchors of crowded prefixes, as two hashes of its letters."""
-    text = F.concat(F.reverse("before"), F.col("suffix"))
-    each = F.explode(F.sequence(F.lit(1), F.length("text") - F.lit(span - 1))).alias("o")
-    cut = crowded.select("_id", "_label", "place", F.length("before").alias("nb"), text.alias("text")).select("_id", "_label", "place", "nb", "text", each)
-    s = F.substring(F.col("text"), F.col("o"), F.lit(span))
-    return cut.select(F.xxhash64(s).alias("s1"), F.xxhash64(F.lit(1), s).alias("s2"), "_id", "_label", (F.col("place")).alias("place"), (F.col("o") - 1 - F.col("nb")).alias("shift"))
-
-
-def shared_span_pairs(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], *, span: int = 200, k: int = PREFIX) -> DataFrame:
+def shared_span_pairs(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], *, span: int = 200, k: int = PREFIX, group: int = GROUP_CONTEXTS, block: int = BLOCK) -> DataFrame:
     """``id_a, id_b``: records with different labels that share a passage of at least ``span`` letters.
 
     The passage may stand in any of the text columns of either record; letters are Unicode code points.
@@ -256,58 +320,37 @@ def shared_span_pairs(records: DataFrame, id_column: str, label_column: str, tex
     out, a null label counts as empty, null and short texts hold no passage, repeated deliveries of an id
     count once, no rows give no pairs.
     """
-    small, crowded, kind = _suffixes(records, id_column, label_column, text_columns, span, k, False)
-
-    def make(groups: Iterable[list[tuple]]) -> pa.RecordBatch:
-        found = set()
-        for rows in groups:
-            for i, j, _, _ in subtree_links(rows, span, k):
-                a, b = rows[i][1], rows[j][1]
-                if a != b:
-                    found.add((a, b) if a < b else (b, a))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], ids), pa.array([b for _, b in found], ids)], names=["id_a", "id_b"])
-
-    ids = _arrow_type(kind)
-    pairs = _grouped(small, f"id_a {kind}, id_b {kind}", make)
-    s = _spans(crowded, span, k).select("s1", "s2", "_id", "_label").distinct()
-    crossed = s.select("s1", "s2", F.col("_id").alias("id_a"), F.col("_label").alias("la")).join(s.select("s1", "s2", F.col("_id").alias("id_b"), F.col("_label").alias("lb")), ["s1", "s2"]).where("la <> lb and id_a < id_b")
-    return pairs.unionByName(crossed.select("id_a", "id_b")).distinct()
-
-
-def shared_coverage(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], *, span: int = 200, k: int = PREFIX) -> DataFrame:
+    suffixes = _suffixes(records, id_column, label_column, text_columns, span, k, False)
+    held = _named(suffixes).select("c1", "c2", "_id", "_label").distinct()
+    repeats = _repeats(suffixes, span, k, group).select("n1", "n2", "c1", "c2").distinct()
+    members = materialize(repeats.join(held, ["c1", "c2"]).select("n1", "n2", "_id", "_label").distinct())
+    # Of repeats with the same records one is enough.
+    sums = [F.sum(F.xxhash64(F.lit(i), "_id", "_label").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    sized = members.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), *sums)
+    one = sized.groupBy("n", "s1", "s2").agg(F.min(F.struct("n1", "n2")).alias("m")).select("m.n1", "m.n2", "n")
+    dealt = members.join(one, ["n1", "n2"]).withColumn("_n", (F.floor(F.col("n") / block) + 1).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(c)
+    left = dealt.select("n1", "n2", F.col("_own").alias("_a"), every("_b"), F.col("_id").alias("id_a"), F.col("_label").alias("la"))
+    right = dealt.select("n1", "n2", F.col("_own").alias("_b"), every("_a"), F.col("_id").alias("id_b"), F.col("_label").alias("lb"))
+    return left.join(right, ["n1", "n2", "_a", "_b"]).where("la <> lb and id_a < id_b").select("id_a", "id_b").distinct()
+
+
+def shared_coverage(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], *, span: int = 200, k: int = PREFIX, group: int = GROUP_CONTEXTS) -> DataFrame:
     """``<id>, side, shared_chars``: letters of each text that stand in a passage shared with a record of another label.
 
     side is the text column's name. Only texts with such letters have a row; a letter in several passages
     counts once. Nulls, empties and repeats behave as in :func:`shared_span_pairs`.
     """
-    small, crowded, kind = _suffixes(records, id_column, label_column, text_columns, span, k, True)
-    ids, sides = _arrow_type(kind), len(text_columns)
-
-    def make(groups: Iterable[list[tuple]]) -> pa.RecordBatch:
-        found: dict[tuple, list[int]] = {}
-        for rows in groups:
-            for i, j, left, right in subtree_links(rows, span, k):
-                for at in (i, j):
-                    most = found.setdefault((rows[at][1], rows[at][2], left), [0])
-                    most[0] = max(most[0], right)
-        keys = list(found)
-        begin = [p // sides - left for _, p, left in keys]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in keys], ids), pa.array([p % sides for _, p, _ in keys], pa.int64()), pa.array(begin, pa.int64()), pa.array([b + found[key][0] + key[2] for b, key in zip(begin, keys)], pa.int64())], names=["_id", "_side", "begin", "end"])
-
-    near = _grouped(small, f"_id {kind}, _side long, begin long, end long", make)
-    s = _spans(crowded, span, k)
-    both = s.groupBy("s1", "s2").agg(F.min("_label").alias("low"), F.max("_label").alias("high")).where("low <> high").select("s1", "s2")
-    begin = F.floor(F.col("place") / sides) + F.col("shift")
-    far = s.join(both, ["s1", "s2"]).select("_id", F.pmod("place", F.lit(sides)).cast("long").alias("_side"), begin.cast("long").alias("begin"), (begin + span).cast("long").alias("end"))
-    from pyspark.sql import Window
-
+    sides = len(text_columns)
+    suffixes = _suffixes(records, id_column, label_column, text_columns, span, k, True)
+    # A context's longest reach per depth; shallower ones that reach no further left add nothing.
+    reach = _repeats(suffixes, span, k, group).groupBy("c1", "c2", "left").agg(F.max("right").alias("right"))
+    at = F.floor(F.col("place") / sides)
+    found = _named(suffixes).select("c1", "c2", "_id", "place").distinct().join(reach, ["c1", "c2"])
+    merged = found.select("_id", F.pmod("place", F.lit(sides)).cast("long").alias("_side"), (at - F.col("left")).cast("long").alias("begin"), (at + F.col("right")).cast("long").alias("end")).distinct()
     order = Window.partitionBy("_id", "_side").orderBy("begin", "end")
     covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(covered, F.col("begin"))))
     names = F.array(*[F.lit(c) for c in text_columns])
-    merged = near.unionByName(far).distinct().withColumn("fresh", fresh).groupBy("_id", "_side").agg(F.sum("fresh").alias("shared_chars"))
-    return merged.select(F.col("_id").alias(id_column), F.element_at(names, (F.col("_side") + 1).cast("int")).alias("side"), "shared_chars")
-
-
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    total = merged.withColumn("fresh", fresh).groupBy("_id", "_side").agg(F.sum("fresh").alias("shared_chars"))
+    return total.select(F.col("_id").alias(id_column), F.element_at(names, (F.col("_side") + 1).cast("int")).alias("side"), "shared_chars")

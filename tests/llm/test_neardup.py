@@ -55,6 +55,44 @@ def test_a_third_of_the_rows_is_one_family(spark):
     assert got == _brute(rows) and len(got) > 300
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_blocks_hold_all_pairs_of_large_buckets(spark, monkeypatch, block):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    family = [rng.choice(words) for _ in range(90)]
+    rows = []
+    for i in range(60):
+        copy = list(family)
+        copy[rng.randrange(90)] = f"x{i}"
+        rows.append((i, f"p{i % 4}", " ".join(copy)))
+    monkeypatch.setattr(neardup, "BUCKET", 4)
+    monkeypatch.setattr(neardup._crowded_pairs, "__defaults__", (block,))
+    got = {(r.id_a, r.id_b) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, "id long, path string, t string"), "id", "path", "t").collect()}
+    assert got == _brute(rows) and len(got) > 1000
+
+
+def test_groups_count_links_without_writing_pairs(spark):
+    rows = _rows(3)
+    copies = [(2000 + i, f"c{i % 3}", rows[5][2]) for i in range(40)]
+    rows += copies
+    want = _brute(rows)
+    n, leader = {}, {}
+    for a, b in want:
+        n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+        leader.setdefault(a, a), leader.setdefault(b, b)
+    for _ in range(60):
+        for a, b in want:
+            leader[a] = leader[b] = min(leader[a], leader[b])
+    df = spark.createDataFrame([(*r, 1) for r in rows], "id long, path string, new_content string, n long")
+    got = {r.id: (r.group_id, r.n_links) for r in neardup.near_duplicate_groups(df, "id", "path", "new_content").collect()}
+    assert got == {i: (leader[i], n[i]) for i in n}
+
+
+def test_estimate():
+    assert neardup.estimated_recall(0, 0, 0, 8) == 1.0 and neardup.estimated_recall(1000, 0, 5, 8) == 1.0
+    assert neardup.estimated_recall(1000, 40, 10, 8) < 0.95
+
+
 def test_empty(spark):
     assert neardup.near_duplicate_pairs(spark.createDataFrame([], "id long, path string, t string"), "id", "path", "t").count() == 0
 
