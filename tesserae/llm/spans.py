@@ -8,15 +8,16 @@ same anchor in every copy, and the prefix of an anchored suffix is its k letters
 1. the prefixes are counted with a map-side combine and only those that stand under two different
    labels (paths) survive, as no other subtree can hold a span shared by two of them;
 2. the surviving suffixes are fetched with the letters around them. Equal contexts (letters before and
-   from the anchor on) are folded into one, with its least and greatest label, again with a map-side
-   combine, so a licence header in a third of all files is one leaf;
+   from the anchor on) are folded into one leaf with its least and greatest label;
 3. the contexts of a prefix form a subtree: sorted, their neighbours' common beginnings give its internal
    nodes. A node's leaves that agree in enough letters before the anchor share a span, a repeat that
    cannot be extended to the right; each is reported with its members, once, where they first part.
 
-A prefix with more contexts than ``GROUP_CONTEXTS`` is lengthened to whole spans: its contexts are keyed by every
-span around the anchor, and equal keys are equal spans, the deepest nodes there are. Repeats with the same members
-are folded. Pairs are only written out in the end, from each repeat's records dealt into blocks.
+The suffixes of a prefix meet in one group if there are no more than ``GROUP_CONTEXTS``. Those of more frequent ones
+are folded first, with a map-side combine, so a licence header in a third of all files is one leaf. A prefix with
+more contexts than that is lengthened to whole spans: its contexts are keyed by every span around the anchor, and
+equal keys are equal spans, the deepest nodes there are. Repeats with the same members are folded. Pairs are only
+written out in the end, from each repeat's records dealt into blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from tesserae.llm.tokens import slices
 from tesserae.runtime import materialize
 
 PREFIX = 64
-#: Contexts of one prefix that a task holds at once, and records of a repeat that a block of pairs holds, on average.
+#: Suffixes or contexts of one prefix that a task holds at once, and records of a repeat that a block of pairs holds, on average.
 GROUP_CONTEXTS, BLOCK = 2048, 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -213,28 +214,28 @@ def _most_shared(rows: list[tuple], group: list[int]) -> list[int]:
     return [max(a, b, 0) for a, b in zip(sweep(group), sweep(group[::-1])[::-1])]
 
 
-def _suffixes(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], span: int, k: int, places_matter: bool) -> DataFrame:
-    """``h, _id, place, _label, before, suffix`` of the suffixes whose prefix stands under two labels; a context once a record unless places matter."""
+def _suffixes(records: DataFrame, id_column: str, label_column: str, text_columns: list[str], span: int, k: int, places_matter: bool, group: int) -> tuple[DataFrame, DataFrame, str]:
+    """Few and many, and the type of the id: ``h, _id, place, _label, before, suffix`` of the suffixes whose prefix stands under two labels; a context once a record unless places matter."""
     kind = records.schema[id_column].dataType.simpleString()
     texts = records.select(F.col(id_column).alias("_id"), F.xxhash64(F.coalesce(F.col(label_column), F.lit(""))).alias("_label"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(text_columns)]).where("_id is not null")
     cut = texts.where(" or ".join(f"length(_t{i}) >= {span}" for i in range(len(text_columns))))
-    shared = _anchor_rows(cut, text_columns, span, k, "h long, _label long", True).groupBy("h").agg(F.min("_label").alias("low"), F.max("_label").alias("high")).where("low <> high").select("h")
+    shared = _anchor_rows(cut, text_columns, span, k, "h long, _label long", True).groupBy("h").agg(F.min("_label").alias("low"), F.max("_label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("h", (F.col("n") > group).alias("many"))
     places = (
         _anchor_rows(cut, text_columns, span, k, f"h long, _id {kind}, place long", False)
         .join(shared, "h")
         .groupBy("_id")
-        .agg(F.collect_list(F.struct("place", "h")).alias("places"))  # no more than the letters of one record
+        .agg(F.collect_list(F.struct("place", "h", "many")).alias("places"))  # no more than the letters of one record
     )
-    joined = cut.join(places, "_id").select("_id", "_label", *[f"_t{i}" for i in range(len(text_columns))], F.col("places.place").alias("place"), F.col("places.h").alias("h"))
+    joined = cut.join(places, "_id").select("_id", "_label", *[f"_t{i}" for i in range(len(text_columns))], F.col("places.place").alias("place"), F.col("places.h").alias("h"), F.col("places.many").alias("many"))
     sides, reach = len(text_columns), span - k
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                out: tuple[list, ...] = ([], [], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for r in batch.slice(start, 64).to_pylist():
                     seen = set()
-                    for place, h in zip(r["place"], r["h"]):
+                    for place, h, many in zip(r["place"], r["h"], r["many"]):
                         pos, side = divmod(place, sides)
                         text = r[f"_t{side}"]
                         # A repeated id may come with other texts; a place outside of one is not its own.
@@ -246,11 +247,58 @@ def _suffixes(records: DataFrame, id_column: str, label_column: str, text_column
                             if key in seen:
                                 continue
                             seen.add(key)
-                        for column, value in zip(out, (h, r["_id"], place, r["_label"], before[::-1], suffix)):
+                        for column, value in zip(out, (h, r["_id"], place, r["_label"], before[::-1], suffix, many)):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field("_id").type), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], names=["h", "_id", "place", "_label", "before", "suffix"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field("_id").type), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), pa.array(out[6], pa.bool_())], names=["h", "_id", "place", "_label", "before", "suffix", "many"])
 
-    return joined.mapInArrow(fetch, f"h long, _id {kind}, place long, _label long, before string, suffix string")
+    suffixes = joined.mapInArrow(fetch, f"h long, _id {kind}, place long, _label long, before string, suffix string, many boolean")
+    return suffixes.where("not many").drop("many"), suffixes.where("many").drop("many"), kind
+
+
+def _grouped(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
+    """Run ``make(prefixes, type of the second column)``, each prefix a list of its rows, sorted; a task holds one prefix and a batch at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple] = []
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                rows = rest + list(zip(*(part.column(i).to_pylist() for i in range(len(columns)))))
+                end = len(rows)
+                while end and rows[end - 1][0] == rows[-1][0]:
+                    end -= 1
+                rest = rows[end:]
+                yield make(_runs(rows[:end]), kind)
+        if rest:
+            yield make(_runs(rest), kind)
+
+    return df.select(*columns).repartition("h").sortWithinPartitions("h", "suffix", "before").mapInArrow(run, schema)
+
+
+def _fold(rows: list[tuple]) -> tuple[list[tuple], list[list[tuple]]]:
+    """Contexts ``low, high, before, suffix`` of sorted suffixes ``h, id, place, label, before, suffix``, and the suffixes of each."""
+    contexts, held = [], []
+    for r in rows:
+        if held and held[-1][0][4:] == r[4:]:
+            held[-1].append(r)
+        else:
+            held.append([r])
+    for same in held:
+        labels = [r[3] for r in same]
+        contexts.append((min(labels), max(labels), same[0][4], same[0][5]))
+    return contexts, held
+
+
+def _small_repeats(rows: list[tuple], span: int, k: int) -> Iterator[tuple[list[tuple], int, list[int]]]:
+    """Repeats among the suffixes of one prefix: suffixes, letters from the anchor on, letters before it for each."""
+    contexts, held = _fold(rows)
+    for c, same in zip(contexts, held):
+        if c[0] != c[1]:
+            yield same, len(c[3]), [len(c[2])] * len(same)
+    for members, d, left in subtree_repeats(contexts, span, k):
+        yield [r for i in members for r in held[i]], d, [m for i, m in zip(members, left) for _ in held[i]]
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -258,15 +306,15 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("c1", F.xxhash64("h", "before", "suffix")).withColumn("c2", F.xxhash64("suffix", "h", "before"))
 
 
-def _repeats(suffixes: DataFrame, span: int, k: int, group: int = GROUP_CONTEXTS) -> DataFrame:
-    """``n1, n2, c1, c2, left, right``: repeats and the contexts that are their members, with the letters they share around the anchor."""
+def _repeats(suffixes: DataFrame, span: int, k: int, group: int) -> DataFrame:
+    """``n1, n2, c1, c2, left, right``: repeats among suffixes of frequent prefixes and the contexts that are their members, with the letters they share around the anchor."""
     contexts = _named(suffixes.groupBy("h", "before", "suffix").agg(F.min("_label").alias("low"), F.max("_label").alias("high")))
     sized = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("h", "k")
     contexts = contexts.join(sized, "h")
     # A context under two labels is a repeat by itself.
     alone = contexts.where("low <> high").select(F.col("c1").alias("n1"), F.col("c2").alias("n2"), "c1", "c2", F.length("before").alias("left"), F.length("suffix").alias("right"))
 
-    def make(groups: Iterable[list[tuple]]) -> pa.RecordBatch:
+    def make(groups: Iterable[list[tuple]], _: pa.DataType) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [], [])
         for rows in groups:
             for members, d, left in subtree_repeats(rows, span, k):
@@ -276,23 +324,7 @@ def _repeats(suffixes: DataFrame, span: int, k: int, group: int = GROUP_CONTEXTS
                         column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["n1", "n2", "c1", "c2", "left", "right"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                rows = rest + list(zip(*(part.column(i).to_pylist() for i in range(7))))
-                end = len(rows)
-                while end and rows[end - 1][0] == rows[-1][0]:
-                    end -= 1
-                rest = rows[end:]
-                yield make(_runs(rows[:end]))
-        if rest:
-            yield make(_runs(rest))
-
-    columns = ["h", "c1", "c2", "low", "high", "before", "suffix"]
-    in_trees = contexts.where(f"k > 1 and k <= {group}").select(*columns).repartition("h").sortWithinPartitions("h", "suffix", "before")
-    trees = in_trees.mapInArrow(run, "n1 long, n2 long, c1 long, c2 long, left long, right long")
+    trees = _grouped(contexts.where(f"k > 1 and k <= {group}"), ["h", "c1", "c2", "low", "high", "before", "suffix"], "n1 long, n2 long, c1 long, c2 long, left long, right long", make)
     text = F.concat(F.reverse("before"), F.col("suffix"))
     each = F.explode(F.sequence(F.lit(1), F.length("text") - F.lit(span - 1))).alias("o")
     cut = contexts.where(f"k > {group}").select("c1", "c2", "low", "high", F.length("before").alias("nb"), text.alias("text")).select("c1", "c2", "low", "high", "nb", "text", each)
@@ -320,10 +352,26 @@ def shared_span_pairs(records: DataFrame, id_column: str, label_column: str, tex
     out, a null label counts as empty, null and short texts hold no passage, repeated deliveries of an id
     count once, no rows give no pairs.
     """
-    suffixes = _suffixes(records, id_column, label_column, text_columns, span, k, False)
-    held = _named(suffixes).select("c1", "c2", "_id", "_label").distinct()
-    repeats = _repeats(suffixes, span, k, group).select("n1", "n2", "c1", "c2").distinct()
-    members = materialize(repeats.join(held, ["c1", "c2"]).select("n1", "n2", "_id", "_label").distinct())
+    few, many, kind = _suffixes(records, id_column, label_column, text_columns, span, k, False, group)
+
+    def make(groups: Iterable[list[tuple]], ids: pa.DataType) -> pa.RecordBatch:
+        out: tuple[list, ...] = ([], [], [], [])
+        for rows in groups:
+            known = set()
+            for serial, (same, _, _) in enumerate(_small_repeats(rows, span, k)):
+                people = frozenset((r[1], r[3]) for r in same)
+                if people in known:
+                    continue
+                known.add(people)
+                for i, label in people:
+                    for column, value in zip(out, (rows[0][0], serial, i, label)):
+                        column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ids), pa.array(out[3], pa.int64())], names=["n1", "n2", "_id", "_label"])
+
+    small = _grouped(few, ["h", "_id", "place", "_label", "before", "suffix"], f"n1 long, n2 long, _id {kind}, _label long", make)
+    held = _named(many).select("c1", "c2", "_id", "_label").distinct()
+    large = _repeats(many, span, k, group).select("n1", "n2", "c1", "c2").distinct().join(held, ["c1", "c2"]).select("n1", "n2", "_id", "_label").distinct()
+    members = materialize(small.unionByName(large))
     # Of repeats with the same records one is enough.
     sums = [F.sum(F.xxhash64(F.lit(i), "_id", "_label").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
     sized = members.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -342,12 +390,23 @@ def shared_coverage(records: DataFrame, id_column: str, label_column: str, text_
     counts once. Nulls, empties and repeats behave as in :func:`shared_span_pairs`.
     """
     sides = len(text_columns)
-    suffixes = _suffixes(records, id_column, label_column, text_columns, span, k, True)
+    few, many, kind = _suffixes(records, id_column, label_column, text_columns, span, k, True, group)
+
+    def make(groups: Iterable[list[tuple]], ids: pa.DataType) -> pa.RecordBatch:
+        reach: dict[tuple, int] = {}
+        for rows in groups:
+            for same, d, left in _small_repeats(rows, span, k):
+                for r, most in zip(same, left):
+                    key = (r[1], r[2], most)
+                    reach[key] = max(reach.get(key, 0), d)
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in reach], ids), pa.array([p for _, p, _ in reach], pa.int64()), pa.array([m for _, _, m in reach], pa.int64()), pa.array(list(reach.values()), pa.int64())], names=["_id", "place", "left", "right"])
+
+    small = _grouped(few, ["h", "_id", "place", "_label", "before", "suffix"], f"_id {kind}, place long, left long, right long", make)
     # A context's longest reach per depth; shallower ones that reach no further left add nothing.
-    reach = _repeats(suffixes, span, k, group).groupBy("c1", "c2", "left").agg(F.max("right").alias("right"))
+    reach = _repeats(many, span, k, group).groupBy("c1", "c2", "left").agg(F.max("right").alias("right"))
     at = F.floor(F.col("place") / sides)
-    found = _named(suffixes).select("c1", "c2", "_id", "place").distinct().join(reach, ["c1", "c2"])
-    merged = found.select("_id", F.pmod("place", F.lit(sides)).cast("long").alias("_side"), (at - F.col("left")).cast("long").alias("begin"), (at + F.col("right")).cast("long").alias("end")).distinct()
+    large = _named(many).select("c1", "c2", "_id", "place").distinct().join(reach, ["c1", "c2"]).select("_id", "place", F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"))
+    merged = small.unionByName(large).select("_id", F.pmod("place", F.lit(sides)).cast("long").alias("_side"), (at - F.col("left")).cast("long").alias("begin"), (at + F.col("right")).cast("long").alias("end")).distinct()
     order = Window.partitionBy("_id", "_side").orderBy("begin", "end")
     covered = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(covered, F.col("begin"))))
