@@ -35,15 +35,15 @@ _ME = f"""me as (select *, case when age_days < 30 then 'working' when age_days
 (select doc_id, coalesce(source, '') category, session_id, created_at, round(least(1.0, length(text) / 4000 + case when regexp_matches(lower(text), 'important|critical|must') then 0.3 else 0 end), 6)::double importance, floor((epoch_us(timestamp '{NOW}') - epoch_us(created_at)) / 86400000000.0)::bigint age_days, length(text) size from documents where text is not null))"""
 
 
-@query(f"with {_ME} select category, count(*) n, count(distinct session_id) n_sessions, sum(size)::bigint n_chars, round(avg(importance), 4) mean_importance from me group by 1")
+@query(f"with {_ME} select category, count(*) n, count(distinct session_id) n_sessions, sum(size)::bigint n_chars, sum(importance::decimal(18, 6))::double total_importance from me group by 1")
 def memory_stats(spark, root):
-    return _memories(spark, root).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("n_sessions"), F.sum("size").alias("n_chars"), F.round(F.avg("importance"), 4).alias("mean_importance"))
+    return _memories(spark, root).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("n_sessions"), F.sum("size").alias("n_chars"), F.sum(F.col("importance").cast("decimal(18,6)")).cast("double").alias("total_importance"))
 
 
-@query(f"with {_ME} select tier, count(*) n, round(avg(importance), 4) mean_importance, min(age_days) youngest, max(age_days) oldest from me group by 1")
+@query(f"with {_ME} select tier, count(*) n, sum(importance::decimal(18, 6))::double total_importance, min(age_days) youngest, max(age_days) oldest from me group by 1")
 def tier_distribution(spark, root):
     """Memories per tier after the tier rules have run."""
-    return _memories(spark, root).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("importance"), 4).alias("mean_importance"), F.min("age_days").alias("youngest"), F.max("age_days").alias("oldest"))
+    return _memories(spark, root).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("importance").cast("decimal(18,6)")).cast("double").alias("total_importance"), F.min("age_days").alias("youngest"), F.max("age_days").alias("oldest"))
 
 
 @query(f"with {_ME} select session_id, count(*) n_turns, min(created_at) first_at, max(created_at) last_at, sum(size)::bigint n_chars, count(distinct category) n_categories from me where session_id is not null group by 1")
