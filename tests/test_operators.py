@@ -171,3 +171,26 @@ def test_clones(spark):
     w = clones.line_windows(df.select("id", clones.window_hashes("t", 6).alias("h6")), "id", "h6")
     assert {(r.n_places, r.n_files) for r in clones.exact_clones(w, "id").collect()} == {(2, 2)}
     assert rows(clones.duplication(w, "id", clones.exact_clones(w, "id"))) == [(1, 3, 3, 1.0), (2, 3, 3, 1.0)]
+
+
+def overlaps(sets, least):
+    o = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
+    return {k: v for k, v in o.items() if v > least}
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.5, 0.6])
+def test_directory_overlap(spark, monkeypatch, least):
+    monkeypatch.setattr(clones, "BLOCK", 5)
+    rng = random.Random(8)
+    sets = {f"k{i:03}": set(rng.choices(["src", "lib", "", *[f"d/{j}" for j in range(12)]], [9, 5, 3] + [1] * 12, k=rng.randrange(1, 8))) for i in range(150)}
+    data = [(k, f"{d}/f{n}.py".lstrip("/")) for k, s in sets.items() for d in s for n in range(2)] + [(None, "src/a"), ("k000", None)]
+    got = clones.directory_overlap(spark.createDataFrame(data, "k string, p string"), "k", "p", least).collect()
+    want = overlaps(sets, least)
+    assert len(got) == len(want) > 100 and {(r.a, r.b): r.overlap for r in got} == want
+
+
+def test_directory_overlap_misses_no_pair(spark):
+    # Twelve least hashes found none of these pairs, though they share four of seven folders.
+    data = [(2 * i + side, f"d{i}/{w}/f.py") for i in (22724, 32316, 36602) for side, ws in enumerate(["abcdef", "abcdx"]) for w in ws]
+    got = clones.directory_overlap(spark.createDataFrame(data, "k long, p string"), "k", "p", 0.5)
+    assert rows(got) == [(45448, 45449, 0.571429), (64632, 64633, 0.571429), (73204, 73205, 0.571429)]
