@@ -52,16 +52,62 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str, dst: str, max_depth
     return seen
 
 
+def _forced_steps(e: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """``_at, _up`` for 1, 2, 4, ... steps along nodes with one way on, as far as there are any; the nodes whose forced way never ends."""
+    step = materialize(e.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"), F.min("_d").alias("_up")).where("_m = 1").select(F.col("_s").alias("_at"), "_up"))
+    most, out = step.count(), []
+    while 2 ** len(out) <= most and not step.isEmpty():
+        out.append(step)
+        step = materialize(step.withColumnRenamed("_up", "_m").join(step.withColumnRenamed("_at", "_m"), "_m").select("_at", "_up"))
+    return out, step.select("_at")
+
+
+def _forced_paths(e: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b, path`` where the nodes from ``a`` up to ``b`` have one way on each; ``a, b`` of the pairs that may have another path.
+
+    Steps of powers of two give each node's depth below the end of its forced way, from that the one number of steps
+    after which ``b`` can be met, and last the nodes between: rounds grow with the logarithm of the longest way.
+    """
+    steps, endless = _forced_steps(e)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_end")).distinct().select("_end", F.col("_end").alias("_at"), F.lit(0).alias("_depth"))
+    for k in reversed(range(len(steps))):
+        ends = ends.join(steps[k], "_at", "left").select("_end", F.coalesce("_up", "_at").alias("_at"), (F.col("_depth") + F.when(F.col("_up").isNull(), 0).otherwise(2**k)).alias("_depth"))
+    ends = materialize(ends)
+    side = lambda x: ends.select(F.col("_end").alias(x), F.col("_at").alias(f"_root_{x}"), F.col("_depth").alias(f"_depth_{x}"))
+    met = materialize(pairs.join(side("a"), "a").join(side("b"), "b"))
+    walk = met.where("_root_a = _root_b and _depth_a > _depth_b").join(endless.withColumnRenamed("_at", "a"), "a", "left_anti")
+    walk = walk.select("a", "b", (F.col("_depth_a") - F.col("_depth_b")).alias("_n"), F.col("a").alias("_at"), F.lit(0).alias("_pos"), F.expr("filter(array(struct(0 as k, 0 as pos, a as node)), x -> false)").alias("_runs"))
+    for k in reversed(range(len(steps))):
+        run, on = F.array(F.struct(F.lit(k).alias("k"), F.col("_pos").alias("pos"), F.col("_at").alias("node"))), F.col("_n").bitwiseAND(2**k) > 0
+        walk = walk.join(steps[k], "_at", "left").select("a", "b", "_n", F.when(on, F.col("_up")).otherwise(F.col("_at")).alias("_at"), F.when(on, F.col("_pos") + 2**k).otherwise(F.col("_pos")).alias("_pos"), F.when(on, F.concat("_runs", run)).otherwise(F.col("_runs")).alias("_runs"))
+    walk = materialize(walk.where("_at = b").select("a", "b", "_runs"))
+    runs, nodes = walk.select("a", "b", F.explode("_runs").alias("r")).select("a", "b", "r.*"), None
+    for k in reversed(range(len(steps))):
+        own = runs.where(F.col("k") == k).select("a", "b", "pos", "node")
+        if nodes is not None:
+            halves = F.explode(F.array(F.struct("pos", "node"), F.struct((F.col("pos") + 2**k).alias("pos"), F.col("_up").alias("node")))).alias("r")
+            own = own.unionByName(nodes.join(steps[k], F.col("node") == F.col("_at")).select("a", "b", halves).select("a", "b", "r.*"))
+        nodes = own
+    paths = pairs.select("a", "b", F.array("a").alias("path")).limit(0)
+    if nodes is not None:
+        paths = nodes.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("_p")).select("a", "b", F.concat(F.transform("_p", lambda x: x["node"]), F.array("b")).alias("path"))
+    # Where a forced way ends for good, there is no other path; it goes on where ways part, and in a circle.
+    rest = met.join(e.select(F.col("_s").alias("_root_a")).distinct(), "_root_a", "left_semi").join(walk.select("a", "b"), ["a", "b"], "left_anti")
+    return materialize(paths), rest.select("a", "b")
+
+
 def shortest_paths(edges: DataFrame, src: str, dst: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``a, b, path``: for each pair of nodes a shortest way along the edges as an array; of equally short ones the least.
 
-    All pairs advance a step a round; a pair stops when it has arrived, or when every node it reaches was seen. A node
-    is its own way. Pairs without a way have no row.
+    Paths over nodes with one way on are put together from steps of powers of two. The other pairs advance a step a
+    round; a pair stops when it has arrived, or when every node it reaches was seen. A node is its own way. Pairs
+    without a way have no row.
     """
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct()
-    front = materialize(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct().select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
-    found = front.where("node = b").select("a", "b", "path")
-    front = front.where("node <> b")
+    e = materialize(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s is not null and _d is not null").distinct())
+    pairs = materialize(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    forced, rest = _forced_paths(e, pairs.where("a <> b"))
+    found = pairs.where("a = b").select("a", "b", F.array("a").alias("path")).unionByName(forced)
+    front = materialize(rest.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path")))
     seen, rounds = front.select("a", "b", "node"), 0
     while not front.isEmpty():
         rounds += 1
