@@ -43,6 +43,14 @@ def test_close_names(spark, monkeypatch):
     assert len(got) == len(want) and {(r.a, r.b): r.similarity for r in got} == want
 
 
+def test_common_ends(spark):
+    rng = random.Random(9)
+    names = {"é" * rng.randrange(0, 70) + "".join(rng.choices("ab日", k=rng.randrange(1, 6))) + "z" * rng.randrange(0, 50) for _ in range(120)}
+    got = spelling.close_names(spark.createDataFrame([("g", n) for n in names], "g string, d string"), "g", "d", 0.8).collect()
+    want = close(names, 0.8)
+    assert len(got) == len(want) > 20 and {(r.a, r.b): r.similarity for r in got} == want
+
+
 def test_few_names_are_compared(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(3, 8))) for _ in range(200)]
